@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm import chat_format, decontaminate, html_text, license_scan, packing, quality_model, quality_rules, token_store, url_filter
+from ocellus.llm import chat_format, decontaminate, html_text, jaccard_join, license_scan, packing, quality_model, quality_rules, token_store, url_filter
 from ocellus.llm._arrow import written
 from ocellus.workers import importable
 
@@ -59,6 +59,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
@@ -68,7 +72,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_quality, op4_chat_format, op5_quality_rules, op6_token_store, op7_html_text, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_quality, op4_chat_format, op5_quality_rules, op6_token_store, op7_html_text, op8_jaccard_join, op9_packing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
