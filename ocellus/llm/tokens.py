@@ -19,7 +19,7 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_")
 #: Any other character sends its text through the library.
 UNSAFE = re.compile(r"[^\t\n\r -~¡-§«¬®-±´¶·»¿À-įĲ-ňŊ-ſ‘’“”–—…•€]|<\|")
 #: Distinct words remembered by a worker before it starts anew.
-MAX_WORDS = 300_000
+MAX_WORDS = 700_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -65,12 +65,8 @@ class TextEncoder:
         return at
 
     def _words(self, text: str) -> np.ndarray:
-        found = WORDS.findall(text.lower())
         get, learn = self.index.get, self.learn
-        at = [get(w, -1) for w in found]
-        if -1 in at:
-            at = [i if i >= 0 else (get(w, -1) if w in self.index else learn(w)) for i, w in zip(at, found, strict=True)]
-        return np.array(at, np.int64)
+        return np.array([i if (i := get(w)) is not None else learn(w) for w in WORDS.findall(text.lower())], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32) and the count of each text (int64)."""
