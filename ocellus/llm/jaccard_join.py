@@ -118,7 +118,8 @@ def sketch_keys(shingles: np.ndarray, band: int) -> np.ndarray:
         block = (shingles >> np.uint64(32)) * np.uint64(4 * BAND ** (band + 1)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         words, block = np.bitwise_xor.reduceat(shingles, first), block[first]
-    return _scramble(_scramble(words + _MIX[1] * np.uint64(band + 1)) + block * _MIX[2]).view(np.int64)
+    salt = np.full(1, band + 1, np.uint64) * _MIX[1]
+    return _scramble(_scramble(words + salt) + block * _MIX[2]).view(np.int64)
 
 
 def bands(n: int) -> list[int]:

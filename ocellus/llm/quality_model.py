@@ -183,7 +183,8 @@ class QualityModel:
     network: Network
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return self.network.probability(np.stack([self.words.pool(t) for t in texts])) if texts else np.zeros(0)
+        # Rounded, so that a text's score does not depend on the texts scored with it.
+        return np.round(self.network.probability(np.stack([self.words.pool(t) for t in texts])), 12) if texts else np.zeros(0)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm import chat_format, decontaminate, html_text, jaccard_join, license_scan, packing, quality_model, quality_rules, token_store, url_filter
+from ocellus.llm import chat_format, decontaminate, html_text, jaccard_join, license_scan, oracles, packing, quality_model, quality_rules, token_store, url_filter
 from ocellus.llm._arrow import written
 from ocellus.workers import importable
 
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
