@@ -22,7 +22,8 @@ What keeps hot groups linear:
   of the group outside their own component, so no link between components is
   missed.
 
-Candidates are verified on the whole sets.
+Candidates whose bit sketches (each shingle flips one bit) differ in more bits
+than the sets may differ are dropped; the rest are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm._arrow import drop_written, slices, written
@@ -49,7 +51,7 @@ GROUP = 24
 #: Ids up to which a set of documents is looked up by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
-SETS = "doc_id long, n long, sig long, hot_key long, hot_n long"
+SETS = "doc_id long, n long, sig long, bits array<long>, hot_key long, hot_n long"
 KEYS = "key long, sig long, n long"
 FOUND = "key long, a long, b long"
 
@@ -64,40 +66,28 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sets of shingle hashes; remembers the hashes of words."""
+def set_of(text: str) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; of the whole sequence if it has fewer words."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    width = min(WIDTH, len(h))
+    total = np.full(len(h) - width + 1, width, np.uint64)
+    for j in range(width):
+        total = total * _MIX[0] + h[j : len(h) - width + 1 + j] * _MIX[j]
+    total = np.sort(_scramble(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
-    def __init__(self, max_words: int = 300_000):
-        self.max_words = max_words
-        self.index: dict[bytes, int] = {}
-        self.hashes = np.zeros(1 << 14, np.uint64)
 
-    def _word(self, word: bytes) -> int:
-        at = len(self.index)
-        if at == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self.index[word] = at
-        return at
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """The set's bit sketch: each shingle flips one bit.  A power of two of bits, four for each shingle or more.
 
-    def set_of(self, text: str) -> np.ndarray:
-        """The sorted distinct hashes of a text's shingles; of the whole sequence if it has fewer words."""
-        if len(self.index) > self.max_words:
-            self.index.clear()
-        words = text.encode().translate(_LOWER).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        get = self.index.get
-        at = [i if (i := get(w)) is not None else self._word(w) for w in words]
-        h = self.hashes[at]
-        width = min(WIDTH, len(h))
-        total = np.full(len(h) - width + 1, width, np.uint64)
-        for j in range(width):
-            total = total * _MIX[0] + h[j : len(h) - width + 1 + j] * _MIX[j]
-        return np.unique(_scramble(total))
-
-
-_SHINGLER = Shingler()
+    Folding a sketch's halves by XOR gives that of half the bits.
+    """
+    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    flips = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -152,9 +142,11 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, set size and set name of each document; and blocks that a batch holds twice or more, with counts."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(*columns) -> pa.RecordBatch:
-            size = max(len(c) for c in columns if c is not None)
-            return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n", "sig", "hot_key", "hot_n"])
+        def rows(doc_id=None, n=None, sig=None, bits=None, hot_key=None, hot_n=None) -> pa.RecordBatch:
+            columns = {"doc_id": doc_id, "n": n, "sig": sig, "bits": bits, "hot_key": hot_key, "hot_n": hot_n}
+            size = len(n if n is not None else hot_key)
+            kind = lambda c: pa.list_(pa.int64()) if c == "bits" else pa.int64()
+            return pa.RecordBatch.from_arrays([pa.nulls(size, kind(c)) if v is None else pa.array(v, kind(c)) for c, v in columns.items()], names=list(columns))
 
         for batch in batches:
             seen: set[int] = set()
@@ -163,19 +155,20 @@ def described(docs: DataFrame) -> DataFrame:
 
             def often(keys: list[np.ndarray]) -> pa.RecordBatch:
                 key, count = np.unique(np.concatenate(keys), return_counts=True)
-                return rows(None, None, None, key[count > 1], count[count > 1])
+                return rows(hot_key=key[count > 1], hot_n=count[count > 1])
 
             for first, texts in slices(batch, "text"):
-                n, sig = [], []
+                n, sig, bits = [], [], []
                 for text in texts:
-                    own = _SHINGLER.set_of(text)
+                    own = set_of(text)
                     n.append(len(own))
+                    bits.append(parity_bits(own) if len(own) else None)
                     sig.append(signature(own) if len(own) else None)
                     if len(own) and sig[-1] not in seen:
                         seen.add(sig[-1])
                         keys += [sketch_keys(own, band) for band in bands(len(own))]
                         held += len(own)
-                yield rows(batch.column(0).slice(first, len(texts)), n, sig, None, None)
+                yield rows(batch.column(0).slice(first, len(texts)), n, sig, bits)
                 if held > 6_000_000:
                     yield often(keys)
                     keys, held = [], 0
@@ -206,7 +199,7 @@ def keyed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             for _, texts in slices(batch, "text"):
                 keys, sigs, ns = [], [], []
                 for text in texts:
-                    own = _SHINGLER.set_of(text)
+                    own = set_of(text)
                     if not len(own) or (sig := signature(own)) in seen:
                         continue
                     seen.add(sig)
@@ -321,33 +314,60 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _sets(docs: DataFrame, names: DataFrame, sets: DataFrame) -> DataFrame:
-    """sig and hashes of the named sets, taken from the smallest doc_id with that set."""
-    found = written(sets.where("doc_id is not null").join(names, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+def _folded(bits: Column, words: Column) -> Column:
+    """A bit sketch of twice as many words, or as many, as one of ``words``."""
+    halves = F.transform(F.slice(bits, F.lit(1), words), lambda x, i: x.bitwiseXOR(F.get(bits, i + words)))
+    return F.when(F.size(bits) > words, halves).otherwise(bits)
+
+
+def promising(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose bit sketches allow a similarity of 3/4; and, for the sets in them, (sig, doc_id).
+
+    The sketches' Hamming distance is at most the symmetric difference, which
+    is at most a seventh of the sets' sizes together.
+    """
+    named = sets.where("doc_id is not null")
+    ids = named.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    own = written(named.join(ids, ["sig", "doc_id"]).select("sig", "doc_id", "n", "bits"))
+    left, right = (own.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(right, "b").join(left, "a")
+    words = F.least(F.size("sa"), F.size("sb"))
+    flipped = F.zip_with(_folded(F.col("sa"), words), _folded(F.col("sb"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    distance = F.aggregate(flipped, F.lit(0), lambda t, x: t + x)
+    near = written(both.where(7 * distance <= F.col("na") + F.col("nb")).select("a", "b").distinct())
+    return near, own.select("sig", "doc_id")
+
+
+def _sets(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """sig and hashes of the named sets, from the documents (sig, doc_id)."""
+    names = written(names)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch, "text"):
-                own = [_SHINGLER.set_of(t) for t in texts]
+                own = [set_of(t) for t in texts]
                 right = [signature(o) == s for o, s in zip(own, batch.column(0).slice(first, len(texts)).to_pylist(), strict=True)]
                 own = [o.view(np.int64) for o, r in zip(own, right, strict=True) if r]
                 sig = batch.column(0).slice(first, len(texts)).filter(pa.array(right))
                 offsets = pa.array(np.cumsum([0] + [len(o) for o in own]), pa.int32())
                 yield pa.RecordBatch.from_arrays([sig, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))], names=["sig", "hashes"])
 
-    rows = _texts(docs).join(_small(found), "doc_id").select("sig", "text").mapInArrow(hashes, "sig long, hashes array<long>")
-    out = written(rows)
-    drop_written(found)
-    return out.dropDuplicates(["sig"])
+    out = written(_texts(docs).join(_small(names), "doc_id").select("sig", "text").mapInArrow(hashes, "sig long, hashes array<long>"))
+    drop_written(names)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of 3/4 or more."""
-    whole = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), sets)
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of 3/4 or more; a pair may be repeated."""
+    near, ids = promising(pairs, sets)
+    whole = _sets(docs, ids.join(near.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi"))
     left, right = (whole.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    both = pairs.join(right, "b").join(left, "a")
+    both = near.join(right, "b").join(left, "a")
     shared = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("i"), (F.size("ha") + F.size("hb")).cast("long").alias("t"))
-    return shared.where(100 * F.col("i") >= 75 * (F.col("t") - F.col("i"))).select("a", "b")
+    out = written(shared.where(100 * F.col("i") >= 75 * (F.col("t") - F.col("i"))).select("a", "b"))
+    for done in (near, whole):
+        drop_written(done)
+    return out
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -407,16 +427,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     seen = written(described(docs))
-    sets = seen.where("hot_key is null").select("doc_id", "n", "sig")
+    sets = seen.where("hot_key is null").select("doc_id", "n", "sig", "bits")
     found = written(grouped(keyed(docs, hot_keys(seen))))
     pairs = written(found.where("key is null").select("a", "b").distinct())
-    links = written(verified(docs, pairs, sets))
+    links = verified(docs, pairs, sets)
     comps = components(spark, links)
     more = written(across(found.where("key is not null"), comps, pairs))
     if more.limit(1).count():
         links = links.unionByName(verified(docs, more, sets))
         comps = components(spark, links)
-    named = sets.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))
+    drop_written(found)
+    drop_written(pairs)
+    named = sets.select("doc_id", "n", "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
     out = named.join(first, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
