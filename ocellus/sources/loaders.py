@@ -10,16 +10,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ocellus.conf import get_option
+from ocellus.conf import DEFAULTS, get_option
 from ocellus.sources.dataset import Dataset, write_dataset
 from ocellus.types.views import to_tensor, to_view
 
 
 def cached(data: DataFrame | str) -> str:
-    """The URI of a dataset; a DataFrame is written below the option ``cache_uri`` first."""
+    """The URI of a dataset; a DataFrame is written below the option ``cache_uri`` first.
+
+    Without that option the session's shared folder is used, where it has one.
+    """
     if isinstance(data, str):
         return data
-    uri = f"{str(get_option('cache_uri')).rstrip('/')}/{uuid.uuid4()}"
+    base = str(get_option("cache_uri"))
+    if base == DEFAULTS["cache_uri"]:
+        base = data.sparkSession.conf.get("spark.checkpoint.dir", None) or base
+    uri = f"{base.rstrip('/')}/{uuid.uuid4()}"
     write_dataset(data, uri)
     return uri
 

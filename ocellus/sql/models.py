@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 import json
 import math
 from abc import ABC, abstractmethod
@@ -207,6 +208,8 @@ def model_type_of(spec: ModelSpec) -> ModelType:
     flavor, name = spec.flavor or "numpy", spec.model_type
     if not name:
         raise SpecError(f"{spec.name} has no model type")
+    if flavor not in MODEL_TYPES and importlib.util.find_spec(f"ocellus.contrib.{flavor}"):
+        importlib.import_module(f"ocellus.contrib.{flavor}")  # registers its types
     if name in MODEL_TYPES.get(flavor, {}):
         return MODEL_TYPES[flavor][name]()
     for path in ([name] if "." in name else [f"ocellus.contrib.{flavor}.{name}"]):
