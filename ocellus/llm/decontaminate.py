@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 SHARD_WORDS = 1 << 20
 WINDOW = 10
 

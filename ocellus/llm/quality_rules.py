@@ -120,14 +120,14 @@ def cutoffs(measures_: DataFrame, labels: DataFrame, risk: float = RISK, gap: fl
     tried = tests.select("stratum", "rule", "cutoff", "n", rejected.alias("k"), F.count("*").over(Window.partitionBy()).alias("tests"))
     proven = tried.where(binomial_tail(F.col("n"), F.col("k"), risk) <= F.lit(gap) / F.col("tests"))
     best = proven.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == i, F.col("cutoff"))).alias(f"_cut_{name}") for i, name in enumerate(RULES)])
+    return best.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == i, F.col("cutoff"))).alias(f"_ocellus_cut_{name}") for i, name in enumerate(RULES)])
 
 
 def with_cutoffs(df: DataFrame, cuts: DataFrame, stratum: Column) -> DataFrame:
     """``df`` with the cutoffs of each row's stratum."""
-    cuts = cuts.withColumnRenamed("stratum", "_stratum")
+    cuts = cuts.withColumnRenamed("stratum", "_ocellus_stratum")
     small = cuts.count() <= BROADCAST_STRATA
-    return df.join(F.broadcast(cuts) if small else cuts, stratum == F.col("_stratum"), "left").drop("_stratum")
+    return df.join(F.broadcast(cuts) if small else cuts, stratum == F.col("_ocellus_stratum"), "left").drop("_ocellus_stratum")
 
 
 def kept(of: Callable[[str], Column]) -> Column:
@@ -135,7 +135,7 @@ def kept(of: Callable[[str], Column]) -> Column:
     over = F.lit(False)
     each = ratios(of)
     for i, name in enumerate(RULES):
-        over = over | F.coalesce(F.get(each, F.lit(i)) > F.col(f"_cut_{name}"), F.lit(False))
+        over = over | F.coalesce(F.get(each, F.lit(i)) > F.col(f"_ocellus_cut_{name}"), F.lit(False))
     return ~base_failed(of("n_words"), of("n_repeat_words")) & ~over
 
 
@@ -151,5 +151,5 @@ def judge(measures_: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     """The documents that :func:`judge` keeps, with all their columns."""
-    rows = with_cutoffs(docs.withColumn("_m", measures(F.col("text").cast("string"))), cuts, F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    return rows.where(kept(lambda c: F.col(f"_m.{c}"))).select(*docs.columns)
+    rows = with_cutoffs(docs.withColumn("_ocellus_m", measures(F.col("text").cast("string"))), cuts, F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    return rows.where(kept(lambda c: F.col(f"_ocellus_m.{c}"))).select(*docs.columns)
