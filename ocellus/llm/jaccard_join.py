@@ -6,8 +6,8 @@ the number of differing blocks never exceeds the symmetric difference ``d`` of
 the sets.  A similarity of at least 3/4 means ``d <= (|A| + |B|) / 7``, and so
 the documents share one of their first ``|A| / 3 + 1`` blocks in any common
 order (pigeonhole).  These blocks are the join keys.  Sketches have a block
-count for each size band, and a document whose partners may fall into the
-next band has keys there too.
+count for each size band (for sets of under 256, a block for each hash), and a
+document whose partners may fall into the next band has keys there too.
 
 Blocks hold whole 64-bit words, not single bits: one-bit blocks of texts of
 some hundred shingles agree by chance for one pair in ten.
@@ -53,6 +53,11 @@ BROADCAST_IDS = 500_000
 
 SETS = "doc_id long, n long, sig long, bits array<long>, hot_key long, hot_n long"
 KEYS = "key long, sig long, n long"
+#: A key's row has the set's size, whether blocks may hold several shingles, and the key's place, in one number.
+SIZE_AT, BLOCKS_AT = 25, 24
+PLACES = (1 << BLOCKS_AT) - 1
+#: The smallest band whose blocks may hold several shingles.
+BLOCKS_FROM = 2
 FOUND = "key long, a long, b long"
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -99,9 +104,9 @@ def sketch_keys(shingles: np.ndarray, band: int) -> np.ndarray:
     """A key for each block of the set's sketch that holds a shingle, in the order of the blocks.
 
     Blocks are ranges of the hash, so those of a sorted set are runs.  The
-    smallest band has a block for each possible hash.
+    bands below ``BLOCKS_FROM`` have a block for each possible hash.
     """
-    if band == 0:
+    if band < BLOCKS_FROM:
         words = shingles
         block = shingles
     else:
@@ -120,10 +125,10 @@ def bands(n: int) -> list[int]:
     return [own, own + 1] if 4 * n >= 3 * BAND ** (own + 1) else [own]
 
 
-def leading_keys(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The join keys: in each band the first |A| / 3 + 1 keys, those in ``hot`` (sorted) last."""
+def leading_keys(shingles: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys: in each band the first |A| / 3 + 1 keys, those in ``hot`` (sorted) last; and their rows' numbers."""
     need = len(shingles) // 3 + 1
-    out = []
+    out, rows = [], []
     for band in bands(len(shingles)):
         keys = np.sort(sketch_keys(shingles, band))
         if len(hot) and need < len(keys):
@@ -131,7 +136,8 @@ def leading_keys(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
             is_hot = hot[at] == keys
             keys = np.concatenate([keys[~is_hot], keys[is_hot]])
         out.append(keys[:need])
-    return np.concatenate(out)
+        rows.append(np.arange(len(out[-1])) | len(shingles) << SIZE_AT | (band >= BLOCKS_FROM) << BLOCKS_AT)
+    return np.concatenate(out), np.concatenate(rows)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -190,7 +196,7 @@ def hot_keys(described_: DataFrame, least: int = HOT, most: int = MAX_HOT) -> np
 
 
 def keyed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """A row (key, set name, set size) for each join key; a batch names equal sets once."""
+    """A row (key, set name, size and place) for each join key; a batch names equal sets once."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +209,10 @@ def keyed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     if not len(own) or (sig := signature(own)) in seen:
                         continue
                     seen.add(sig)
-                    k = leading_keys(own, sent.value)
+                    k, row = leading_keys(own, sent.value)
                     keys.append(k)
                     sigs.append(np.full(len(k), sig))
-                    ns.append(np.full(len(k), len(own)))
+                    ns.append(row)
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, sigs, ns)], names=["key", "sig", "n"])
 
@@ -214,14 +220,27 @@ def keyed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _size_class(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.15)).astype(np.int64)
+    return np.floor(np.log(np.maximum(n >> SIZE_AT, 1)) / np.log(1.15)).astype(np.int64)
 
 
 def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether two set sizes allow a similarity of 3/4."""
+    """Whether two rows' set sizes allow a similarity of 3/4."""
+    n, m = n >> SIZE_AT, m >> SIZE_AT
     return 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
 
 
+def _first(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets that are similar may have this key as the first they share.
+
+    If so, all keys before it are differences: each is a shingle of its own,
+    or, where blocks may hold several, one difference may stand behind a key
+    of either set.
+    """
+    p, q = n & PLACES, m & PLACES
+    differ = np.where(n >> BLOCKS_AT & 1, np.maximum(p, q), p + q)
+    return 7 * differ <= (n >> SIZE_AT) + (m >> SIZE_AT)
+
+
 class Grouper:
     """Turns rows sorted by (key, n, sig) into candidate pairs, a batch at a time.
 
@@ -265,7 +284,7 @@ class Grouper:
                 same = np.flatnonzero(k[step:] == k[:-step])
                 if not len(same):
                     break
-                ok = same[_alike(m[same], m[same + step])]
+                ok = same[_alike(m[same], m[same + step]) & _first(m[same], m[same + step])]
                 pairs.append(np.stack([s[ok], s[ok + step]], axis=1))
         rows = np.stack([key[of], sig[of], n[of]], axis=1)
         if of.any():
@@ -402,16 +421,19 @@ def across(large: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs of a large group that lie in different components, as far as not tried yet.
 
     Each group's rows outside its most frequent component are paired with all
-    rows of other components and a fitting size.
+    rows of other components, a fitting size, and a place at which the key may
+    be the first that similar sets share.
     """
-    rows = large.select("key", F.col("a").alias("sig"), F.col("b").alias("n")).join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    rows = large.select("key", F.col("a").alias("sig"), F.col("b").alias("row")).join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "row", F.coalesce("root", "sig").alias("root"))
     rows = written(rows)
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    split = rows.join(main, "key")
-    minor = split.where("root <> main").select("key", F.col("sig").alias("s"), F.col("n").alias("m"), F.col("root").alias("r"))
-    other = split.select("key", "sig", "n", "root")
-    met = minor.join(other, "key").where((F.col("r") != F.col("root")) & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")))
+    sized = [F.shiftright("row", SIZE_AT).alias("n"), F.col("row").bitwiseAND(PLACES).alias("p"), F.shiftright("row", BLOCKS_AT).bitwiseAND(1).alias("blocks")]
+    split = rows.join(main, "key").select("key", "sig", "root", "main", *sized)
+    minor = split.where("root <> main").select("key", F.col("sig").alias("s"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("r"))
+    other = split.select("key", "sig", "n", "p", "blocks", "root")
+    differ = F.when(F.col("blocks") == 1, F.greatest("p", "q")).otherwise(F.col("p") + F.col("q"))
+    met = minor.join(other, "key").where((F.col("r") != F.col("root")) & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (7 * differ <= F.col("n") + F.col("m")))
     pairs = met.select(F.least("s", "sig").alias("a"), F.greatest("s", "sig").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
