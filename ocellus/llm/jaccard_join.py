@@ -86,11 +86,11 @@ def set_of(text: str) -> np.ndarray:
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """The set's bit sketch: each shingle flips one bit.  A power of two of bits, four for each shingle or more.
+    """The set's bit sketch: each shingle flips one bit.  A power of two of bits, one for each shingle or more.
 
     Folding a sketch's halves by XOR gives that of half the bits.
     """
-    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    bits = max(256, 1 << (len(shingles) - 1).bit_length())
     flips = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
