@@ -2,8 +2,8 @@
 
 The library normalises and splits each text anew and so spends most of its
 time on words it has met before.  :class:`TextEncoder` splits texts the same
-way itself, has the library's model encode each distinct word once, and
-expands the remembered ids with numpy.  Texts with characters for which the
+way itself, at white space and then into pieces, has the library's model encode
+each distinct piece once, and expands the remembered ids of words with numpy.  Texts with characters for which the
 two ways of splitting might differ go through the library as a whole.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,8 +19,8 @@ import numpy as np
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_")
 #: Any other character sends its text through the library.
 UNSAFE = re.compile(r"[^\t\n\r -~¡-§«¬®-±´¶·»¿À-įĲ-ňŊ-ſ‘’“”–—…•€]|<\|")
-#: Distinct words remembered by a worker before it starts anew.
-MAX_WORDS = 700_000
+#: Distinct words, and three quarters as many pieces, remembered by a worker before it starts anew.
+MAX_WORDS = 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -40,33 +41,43 @@ class TextEncoder:
         self.model = self.tokenizer.model
         self.max_words = max_words
         self.alphabet = byte_alphabet()
+        self.pieces: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
+        """Forgets words, and pieces if there are too many; words are learnt again from pieces."""
+        if len(self.pieces) > self.max_words * 3 // 4:
+            self.pieces.clear()
         self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.begins = np.zeros(1 << 14, np.int64)
-        self.counts = np.zeros(1 << 14, np.int64)
+        self.flat, self.begins, self.counts = array("I"), array("q"), array("q")
+
+    def piece(self, piece: str) -> list[int]:
+        """Has the model encode a piece of a word and remembers it."""
+        seen = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        self.pieces[piece] = ids = [t.id for t in self.model.tokenize(seen)]
+        return ids
 
     def learn(self, word: str) -> int:
-        """Has the model encode a new word and remembers it."""
-        seen = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
-        ids = [t.id for t in self.model.tokenize(seen)]
-        at, n = len(self.index), len(ids)
-        if at == len(self.begins):
-            self.begins, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.counts))
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.begins[at], self.counts[at] = self.used, n
-        self.used += n
-        self.index[word] = at
+        """Encodes a new word, a run of characters without white space, and remembers it."""
+        known, ids = self.pieces, []
+        for p in WORDS.findall(word):
+            ids += known.get(p) or self.piece(p)
+        at = self.index[word] = len(self.index)
+        self.begins.append(len(self.flat))
+        self.counts.append(len(ids))
+        self.flat.extend(ids)
         return at
 
+    def _expanded(self, words: np.ndarray) -> np.ndarray:
+        """The ids of words by number.  The views end here, as the arrays can't grow while there are any."""
+        flat, begins, counts = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.begins, np.int64), np.frombuffer(self.counts, np.int64)
+        n = counts[words]
+        ends = np.cumsum(n)
+        return flat[np.repeat(begins[words] - ends + n, n) + np.arange(int(ends[-1]))]
+
     def _words(self, text: str) -> np.ndarray:
         get, learn = self.index.get, self.learn
-        return np.array([i if (i := get(w)) is not None else learn(w) for w in WORDS.findall(text.lower())], np.int64)
+        return np.array([i if (i := get(w)) is not None else learn(w) for w in text.lower().split()], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32) and the count of each text (int64)."""
@@ -78,10 +89,7 @@ class TextEncoder:
                 ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
                 words = self._words(text)
-                n = self.counts[words]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                ids = self.flat[np.repeat(self.begins[words] - ends + n, n) + np.arange(total)]
+                ids = self._expanded(words) if len(words) else np.zeros(0, np.uint32)
             parts.append(ids)
             lengths.append(len(ids))
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array(lengths, np.int64)
