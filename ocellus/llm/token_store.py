@@ -103,7 +103,7 @@ def expansion_lengths(pairs: np.ndarray, vocabulary: int, rounds: list[int]) ->
     return lengths
 
 
-def expand(symbols: np.ndarray, pairs: np.ndarray, vocabulary: int) -> np.ndarray:
+def unfold(symbols: np.ndarray, pairs: np.ndarray, vocabulary: int) -> np.ndarray:
     """The ids that symbols stand for: nonterminals are replaced by their pairs until none is left."""
     symbols = symbols.astype(np.uint32)
     while len(at := np.flatnonzero(symbols >= vocabulary)):
@@ -117,6 +117,20 @@ def expand(symbols: np.ndarray, pairs: np.ndarray, vocabulary: int) -> np.ndarra
     return symbols
 
 
+def expand(symbols: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The same, with each rule unfolded once and its ids copied to each of its places."""
+    if not len(pairs) or len(symbols) < len(pairs):
+        return unfold(symbols, pairs, vocabulary)
+    unfolded = unfold(np.arange(vocabulary, vocabulary + len(pairs)), pairs, vocabulary)
+    # One table: a terminal's ids begin at itself, a rule's behind all terminals.
+    table = np.concatenate([np.arange(vocabulary, dtype=np.uint32), unfolded])
+    sizes = np.concatenate([np.ones(vocabulary, np.int32), lengths.astype(np.int32)])
+    begins = np.concatenate([np.arange(vocabulary), vocabulary + np.cumsum(lengths, dtype=np.int64) - lengths])
+    n = sizes[symbols]
+    ends = np.cumsum(n, dtype=np.int64)
+    return table[np.repeat(begins[symbols] - ends + n, n) + np.arange(int(ends[-1]))]
+
+
 def to_bytes(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> bytes:
     """A shard's file."""
     symbols, pairs, lengths = compress(ids, vocabulary)
@@ -139,7 +153,7 @@ class Shard:
         self.counts = np.frombuffer(data, "<u4", docs, at + kind.itemsize * symbols)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.pairs, self.vocabulary)
+        return expand(self.symbols, self.pairs, self.lengths, self.vocabulary)
 
     def stretch(self, start: int, length: int) -> np.ndarray:
         """The ids ``start`` to ``start + length``, expanding only the symbols that hold them."""
@@ -151,7 +165,7 @@ class Shard:
         a = int(np.searchsorted(ends, start, side="right"))
         b = int(np.searchsorted(ends, min(start + length, self.n_ids), side="left")) + 1
         skip = start - (int(ends[a - 1]) if a else 0)
-        return expand(self.symbols[a:b], self.pairs, self.vocabulary)[skip : skip + length]
+        return unfold(self.symbols[a:b], self.pairs, self.vocabulary)[skip : skip + length]
 
     def document(self, row: int) -> np.ndarray:
         return self.stretch(int(self.counts[:row].sum()), int(self.counts[row]))

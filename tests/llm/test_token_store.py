@@ -45,7 +45,8 @@ def test_compression_shrinks():
     a = np.random.default_rng(0).integers(0, 30, 50_000).astype(np.uint32)
     symbols, pairs, lengths = S.compress(a, 49_408)
     assert len(symbols) < 0.6 * len(a) and len(pairs)
-    assert all(lengths[i] == len(S.expand(np.array([49_408 + i]), pairs, 49_408)) for i in range(0, len(pairs), 97))
+    assert np.array_equal(S.expand(symbols, pairs, lengths, 49_408), a)
+    assert all(lengths[i] == len(S.unfold(np.array([49_408 + i]), pairs, 49_408)) for i in range(0, len(pairs), 97))
 
 
 def test_files(spark, encoder, tmp_path):
