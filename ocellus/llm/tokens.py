@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: The split pattern of the word-level vocabulary, for texts in SAFE.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Any other character sends its text through the library.
 UNSAFE = re.compile(r"[^\t\n\r -~¡-§«¬®-±´¶·»¿À-įĲ-ňŊ-ſ‘’“”–—…•€]|<\|")
 #: Distinct words, and three quarters as many pieces, remembered by a worker before it starts anew.

@@ -29,6 +29,14 @@ def test_encoder_equals_library(encoder, texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("_-.'(s1é—é €\n", max_size=12), max_size=5))
+def test_underscores_equal_library(encoder, texts):
+    every = [*texts, "__init__ (_x_) ____ -_-", "_. [_] _'s '_s _1_ _—_ a_b __a1__"]
+    ids, n = encoder.encode(every)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in encoder.tokenizer.encode_batch(every, add_special_tokens=False)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=400), st.sampled_from([49_408, 70_000, 7, 65_535]), st.data())
 def test_compression_round_trip(ids, vocabulary, data):
