@@ -3,10 +3,11 @@
 Events of the standard library's parser cut a page into lines, one for each
 block.  Each line's text-to-tag ratio is smoothed by a Gaussian over its
 neighbours, and a two-means threshold divides the lines into content and the
-rest.  The content lines select the region: the article or main elements that
-hold most of their text, or else the deepest element that holds nearly all of
-it.  All blocks of the region are returned, so that short paragraphs stay,
-except those in elements that never are content.
+rest.  The content lines select the region: the article or main elements if
+they hold most of their text, or else the deepest container that holds nearly
+all of it, along with any article elsewhere and the headings, paragraphs and
+other text beside it.  All blocks of the region are returned, so that short
+paragraphs stay, except those in elements that never are content.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ HEADER = frozenset("header masthead".split())
 #: Elements that an opening tag closes, if they are the innermost block.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "p": {"p"}}
 ROOTS = frozenset(("html", "body", "article", "main"))
+#: Elements for text, which are no region of their own; their text beside the region is content unless it is a link's.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = HEADINGS | frozenset("address blockquote caption dd dl dt figcaption figure hgroup li ol p pre summary table tbody tfoot thead tr ul".split())
+#: Fixed value: so many characters, not of links, are content in any element beside the region.
+SENTENCE = 25
 _NAME = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -54,8 +60,10 @@ class Lines(HTMLParser):
         self.tags: list[int] = []
         self.within: list[int] = []
         self.never: list[bool] = []
+        self.linked: list[int] = []
         self.open: list[str] = []
-        self.count = 0
+        self.count = self.link = 0
+        self.in_link = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.open).split())
@@ -65,7 +73,8 @@ class Lines(HTMLParser):
             self.tags.append(self.count)
             self.within.append(number)
             self.never.append(never)
-        self.open, self.count = [], 0
+            self.linked.append(self.link)
+        self.open, self.count, self.link = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
@@ -78,6 +87,8 @@ class Lines(HTMLParser):
             while self.stack[-1][0] in (closes := CLOSED_BY.get(tag, {"p"})) or (self.stack[-1][0] == "p" and "p" in closes):
                 self.stack.pop()
         self.count += 1
+        if tag == "a":
+            self.in_link = True
         if tag in VOID:
             if tag in ("br", "hr", "wbr"):
                 self.open.append(" " if tag != "wbr" else "")
@@ -108,6 +119,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "a":
+            self.in_link = False
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.stack[depth][0] == tag:
                 self.flush()
@@ -120,6 +133,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.open.append(data)
+        if self.in_link:
+            self.link += len("".join(data.split()))
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -173,21 +188,35 @@ def main_text(html: str | None) -> str:
         held[page.parents[i]] += held[i]
     total = held[0]
     inside = np.zeros(len(held), bool)
-    tops = [i for i, name in enumerate(page.names) if name in ("article", "main") and held[i] > 0]
+    # Elements with text that can be content; an article is kept even if none of its lines is chosen.
+    allowed, parted = np.zeros(len(held), bool), np.zeros(len(held), bool)
+    allowed[np.array(page.within)[~never]] = True
+    for i in range(len(held) - 1, 0, -1):
+        allowed[page.parents[i]] |= allowed[i]
+        parted[page.parents[i]] |= allowed[i]
+    articles = [i for i, name in enumerate(page.names) if name in ("article", "main") and allowed[i]]
     outer: set[int] = set()
-    for i in tops:
+    for i in articles:
         up = page.parents[i]
         while up > 0 and up not in outer:
             up = page.parents[up]
         if up <= 0:
             outer.add(i)
-    if outer and sum(held[i] for i in outer) >= 0.5 * total:
-        inside[list(outer)] = True
-    else:
-        inside[max((i for i in range(len(held)) if held[i] >= 0.9 * total), default=0)] = True
+    inside[list(outer)] = True
+    alone = bool(outer) and sum(held[i] for i in outer) >= 0.5 * total
+    if not alone:
+        inside[max((i for i in range(len(held)) if parted[i] and page.names[i] not in TEXTUAL and held[i] >= 0.9 * total), default=0)] = True
     for i in range(1, len(held)):
         inside[i] |= inside[page.parents[i]]
-    return "\n".join(t for t, w, n in zip(page.texts, page.within, page.never, strict=True) if inside[w] and not n)
+
+    def beside(i: int) -> bool:
+        """Whether a line outside the region is content."""
+        name = page.names[page.within[i]]
+        if name in HEADINGS:
+            return True
+        return 2 * page.linked[i] <= len(page.texts[i]) - page.texts[i].count(" ") and (name in TEXTUAL or len(page.texts[i]) >= SENTENCE)
+
+    return "\n".join(t for i, t in enumerate(page.texts) if not never[i] and (inside[page.within[i]] or not alone and beside(i)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -27,6 +27,20 @@ def test_comments_inside_article():
     assert H.main_text(page(f"<article><p>{LONG}</p><div class='comment-list'><article class='comment'><p>{LONG}</p></article></div></article>")) == LONG
 
 
+def test_text_beside_the_longest_block():
+    long = " ".join([LONG] * 22)
+    assert H.main_text(page(f"<h1>T</h1><p>short lead</p><p>{long}</p><p>short end</p>")) == f"T\nshort lead\n{long}\nshort end"
+    assert H.main_text(page(f"{MENU}<h1>T</h1><p>lead</p><div><p>{long}</p><p>x</p></div><div><ul><li><a href='/'>More</a></ul></div>")) == f"T\nlead\n{long}\nx"
+    assert H.main_text(page(f"<div>T</div><div>{long}</div><div>end</div>")) == f"T\n{long}\nend"
+    assert H.main_text(page(f"<ul><li>one</li><li>{long}</li></ul><pre>two</pre>")) == f"one\n{long}\ntwo"
+
+
+def test_every_article_is_kept():
+    long = " ".join([LONG] * 22)
+    assert H.main_text(page(f"<article><p>Brief.</p></article><article><p>{long}</p></article><div class='ad'><article><p>Buy</p></article></div>")) == f"Brief.\n{long}"
+    assert H.main_text(page(f"<div><article><p>Brief.</p></article></div><div><p>{long}</p><p>{long}</p></div>")) == f"Brief.\n{long}\n{long}"
+
+
 def test_odd_pages():
     assert H.main_text(None) == H.main_text("") == H.main_text("   ") == H.main_text("<html></html>") == H.main_text(page(MENU)) == ""
     assert H.main_text("plain &lt;text&gt; &#233; &am") == "plain <text> é &am"
