@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = HEADINGS | frozenset("address blockquote caption dd dl dt figcaption figure hgroup li ol p pre summary table tbody tfoot thead tr ul".split())
 #: Fixed value: so many characters, not of links, are content in any element beside the region.
 SENTENCE = 25
+#: Elements of the head; any other element's opening tag ends a head without an end tag.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Words after which a name says what a page has, not what an element is.
+QUALIFIERS = frozenset("has no not with without".split())
+#: Words that also name layouts, so that an element named by these alone can hold a page's own text.
+LAYOUT = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation sidebar toolbar topbar widget".split())
+#: How sure it is that an element is no content: unless it holds the page's article; unless it holds that or most of the text; always.
+NAMED, LAID_OUT, ALWAYS = 1, 2, 3
 _NAME = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -55,11 +64,12 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parents: list[int] = [-1]
         self.names: list[str] = ["#page"]
-        self.stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # name, number, never content
+        self.excluded: list[int] = [0]  # of each element: 0, NAMED, LAID_OUT or ALWAYS
+        self.named: list[bool] = [False]  # of each element: whether its own names are of elements that never are content
+        self.stack: list[tuple[str, int]] = [("#page", 0)]  # name, number
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.within: list[int] = []
-        self.never: list[bool] = []
         self.linked: list[int] = []
         self.open: list[str] = []
         self.count = self.link = 0
@@ -68,20 +78,22 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.open).split())
         if text:
-            _, number, never = self.stack[-1]
             self.texts.append(text)
             self.tags.append(self.count)
-            self.within.append(number)
-            self.never.append(never)
+            self.within.append(self.stack[-1][1])
             self.linked.append(self.link)
         self.open, self.count, self.link = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD and self.stack[-1][0] == "head" or tag == "body":
+            self._end_head()
         block = tag in BLOCK
-        excluded = tag in NEVER or (bool(attrs) and tag not in ROOTS and self._excluded(attrs))
-        in_article = any(s[0] in ("article", "main") for s in self.stack)
-        if not in_article and tag == "header":
-            excluded = True
+        named = self._excluded(attrs) if attrs else 0
+        excluded = 0 if tag in ROOTS else named
+        if tag == "form":
+            excluded = max(excluded, NAMED)
+        elif tag in NEVER or tag == "header" and not any(s[0] in ("article", "main") for s in self.stack):
+            excluded = ALWAYS
         if block:
             self.flush()
             while self.stack[-1][0] in (closes := CLOSED_BY.get(tag, {"p"})) or (self.stack[-1][0] == "p" and "p" in closes):
@@ -98,20 +110,34 @@ class Lines(HTMLParser):
                 self.flush()
             self.names.append(tag)
             self.parents.append(self.stack[-1][1])
-            self.stack.append((tag, len(self.names) - 1, excluded or self.stack[-1][2]))
+            self.excluded.append(excluded)
+            self.named.append(named > 0)
+            self.stack.append((tag, len(self.names) - 1))
         elif tag in ("td", "th"):
             self.open.append(" ")
 
-    def _excluded(self, attrs: list[tuple[str, str | None]]) -> bool:
+    def _end_head(self) -> None:
+        """Closes the head, and what is left open in it."""
+        for depth, (name, _) in enumerate(self.stack):
+            if name == "head":
+                self.flush()
+                del self.stack[depth:]
+                return
+
+    def _excluded(self, attrs: list[tuple[str, str | None]]) -> int:
         words: set[str] = set()
         for name, value in attrs:
             if name in ("class", "id"):
-                words.update(_NAME.findall(_CAMEL.sub(" ", value or "").lower()))
+                for part in (value or "").split():
+                    words.update(takewhile(lambda w: w not in QUALIFIERS, _NAME.findall(_CAMEL.sub(" ", part).lower())))
             elif name == "role" and (value or "").lower() in NEVER_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return ALWAYS
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
-                return True
-        return bool(words & NEVER_NAMED) or bool(words & HEADER) and not any(s[0] in ("article", "main") for s in self.stack)
+                return ALWAYS
+        found = words & NEVER_NAMED
+        if words & HEADER and not any(s[0] in ("article", "main") for s in self.stack):
+            found |= words & HEADER
+        return 0 if not found else LAID_OUT if found <= LAYOUT else NAMED
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -132,6 +158,8 @@ class Lines(HTMLParser):
             self.flush()
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and not data.isspace():
+            self._end_head()
         self.open.append(data)
         if self.in_link:
             self.link += len("".join(data.split()))
@@ -167,14 +195,51 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return x - low > high - x
 
 
+def never_content(page: Lines) -> np.ndarray:
+    """Whether each element is, or is in, one that never is content.
+
+    Names and forms do not exclude the element around the page's article, when
+    no article is outside, nor do names of layouts the element around most of the text.
+    """
+    excluded, parents = page.excluded, page.parents
+    never = np.array(excluded) > 0
+    for i in range(1, len(never)):
+        never[i] |= never[parents[i]]
+    unsure = [i for i, e in enumerate(excluded) if 0 < e < ALWAYS]
+    if not unsure:
+        return never
+    # Characters that are not a link's, and articles, in each element except in those that always are excluded.
+    own, articles = np.zeros(len(never)), np.zeros(len(never), np.int64)
+    np.add.at(own, np.array(page.within, np.int64), np.maximum(0, np.array([len(t) for t in page.texts]) - np.array(page.linked)))
+    allowed = own.copy()
+    for i, name in enumerate(page.names):
+        articles[i] = name in ("article", "main") and not page.named[i]
+    all_articles = articles.copy()
+    for i in range(len(never) - 1, 0, -1):
+        if excluded[i] != ALWAYS:
+            own[parents[i]] += own[i]
+            articles[parents[i]] += articles[i]
+    for i in unsure:
+        if never[parents[i]] or (all_articles * ~never).any():
+            continue
+        if own[i] > allowed[~never].sum() and (articles[i] or excluded[i] == LAID_OUT):
+            excluded[i] = 0
+            never[i] = False
+            for k in range(i + 1, len(never)):
+                never[k] = never[parents[k]] or excluded[k] > 0
+    return never
+
+
 def main_text(html: str | None) -> str:
     """A page's main text; empty for a null or empty page or one without content."""
     page = Lines()
     page.feed(html or "")
     page.close()
     page.flush()
-    never = np.array(page.never, bool)
-    if not len(never) or never.all():
+    if not page.texts:
+        return ""
+    never = never_content(page)[np.array(page.within)]
+    if never.all():
         return ""
     size = np.array([len(t) for t in page.texts], np.float64)
     ratios = np.where(never, 0.0, size / np.maximum(1, np.array(page.tags)))

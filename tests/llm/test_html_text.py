@@ -1,5 +1,7 @@
 """op7 on small pages whose main text is known."""
 
+import pytest
+
 from ocellus.llm import html_text as H
 
 LONG = "This paragraph has enough words to be taken for the content of the page, as articles have."
@@ -41,6 +43,27 @@ def test_every_article_is_kept():
     assert H.main_text(page(f"<div><article><p>Brief.</p></article></div><div><p>{long}</p><p>{long}</p></div>")) == f"Brief.\n{long}\n{long}"
 
 
+def test_head_without_end_tag():
+    assert H.main_text(f"<html><head><title>x</title><meta charset=utf-8><body><article><p>{LONG}</p></article></body></html>") == LONG
+    assert H.main_text(f"<head><title>x</title><style>p{{}}</style><div><p>{LONG}</p></div>") == LONG
+    assert H.main_text(f"<head><title>x</title><noscript><link></noscript>{LONG}") == LONG
+    assert H.main_text(f"<head><noscript><style></style><body><p>{LONG}</p>") == LONG
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "page-with-sidebar", "hasSidebar wide", "sidebar-left", "comments-open"])
+def test_wrapper_named_for_what_the_page_has(name):
+    inner = f"<div class='sidebar'>Side {LONG}</div><div class='no-js comments'><p>{LONG}</p></div>"
+    assert H.main_text(page(f"<div id=page class='{name}'>{inner}<article><p>{LONG} A.</p><p>{LONG} B.</p></article></div>")) == f"{LONG} A.\n{LONG} B."
+
+
+def test_wrapper_around_most_of_the_text():
+    text = f"<p>{LONG} A.</p><p>{LONG} B.</p>"
+    assert H.main_text(page(f"<div class='sidebar-left'><div class='sidebar'>Side</div>{text}</div><div>foot</div>")) == f"{LONG} A.\n{LONG} B."
+    assert H.main_text(page(f"<form id=f><div class='menu-page'><article>{text}</article></div></form>")) == f"{LONG} A.\n{LONG} B."
+    assert H.main_text(page(f"<div>{text}</div><div class='comments'>{f'<p>{LONG}</p>' * 9}</div>")) == f"{LONG} A.\n{LONG} B."
+    assert H.main_text(page(f"<div>{text}</div><div class='comments'>{f'<article id=comment-1><p>{LONG}</p></article>' * 9}</div>")) == f"{LONG} A.\n{LONG} B."
+
+
 def test_odd_pages():
     assert H.main_text(None) == H.main_text("") == H.main_text("   ") == H.main_text("<html></html>") == H.main_text(page(MENU)) == ""
     assert H.main_text("plain &lt;text&gt; &#233; &am") == "plain <text> é &am"
