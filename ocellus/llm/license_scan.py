@@ -3,7 +3,7 @@
 Texts are reduced to lower-case words.  Three base phrases are counted where
 they stand.  The texts that hold one of a few broad keywords go on to the
 signature rules: regular expressions over the words, each tried only where
-its own keyword occurs.  A detection inside one of a higher priority, or of
+one of its own keywords occurs; every match of a rule holds one of them.  A detection inside one of a higher priority, or of
 the same priority and longer, is suppressed.  All of it is DataFrame
 expressions.
 """
@@ -19,25 +19,25 @@ from pyspark.sql import functions as F
 #: Base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: Fixed values: (label, keyword, name pattern); words are separated by one space, digits of versions stand apart.
+#: Fixed values: (label, keywords divided by |, name pattern); words are separated by one space, digits of versions stand apart.
 FAMILIES = [
     ("mit", " mit ", r"mit(?: x11| expat)?"),
     ("x11", " x11 ", r"x11"),
     ("isc", " isc ", r"isc"),
-    ("0bsd", " bsd ", r"(?:0bsd|zero clause bsd|bsd zero clause|bsd 0 clause)"),
-    ("bsd-2-clause", " bsd ", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("0bsd", " bsd | 0bsd ", r"(?:0bsd|zero clause bsd|bsd zero clause|bsd 0 clause)"),
+    ("bsd-2-clause", " bsd | freebsd ", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
     ("bsd-3-clause", " bsd ", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", " bsd ", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
-    ("bsd", " bsd ", r"(?:bsd|bsd style|berkeley)"),
+    ("bsd", " bsd | berkeley ", r"(?:bsd|bsd style|berkeley)"),
     ("apache-1.1", " apache ", r"apache(?: software)?(?: license)?(?: version| v)? 1 1"),
     ("apache-2", " apache ", r"apache(?: software)?(?: license)?(?: version| v)? (?:2 0|2)"),
     ("apache", " apache ", r"apache(?: software)?"),
-    ("gpl-2.0", " 2", r"(?:gnu )?(?:general public|gpl)(?: license)?(?: version| v)? ?(?:2 0|2)"),
-    ("gpl-3.0", " 3", r"(?:gnu )?(?:general public|gpl)(?: license)?(?: version| v)? ?(?:3 0|3)"),
+    ("gpl-2.0", " gpl| general public", r"(?:gnu )?(?:general public|gpl)(?: license)?(?: version| v)? ?(?:2 0|2)"),
+    ("gpl-3.0", " gpl| general public", r"(?:gnu )?(?:general public|gpl)(?: license)?(?: version| v)? ?(?:3 0|3)"),
     ("gpl", " gpl ", r"(?:gnu )?gpl"),
     ("gpl", " general public ", r"(?:gnu )?general public"),
-    ("lgpl-2.1", " 2 1 ", r"(?:gnu )?(?:(?:lesser|library) general public|lgpl)(?: license)?(?: version| v)? ?2 1"),
-    ("lgpl-3.0", " 3", r"(?:gnu )?(?:(?:lesser|library) general public|lgpl)(?: license)?(?: version| v)? ?(?:3 0|3)"),
+    ("lgpl-2.1", " lgpl| lesser general public| library general public", r"(?:gnu )?(?:(?:lesser|library) general public|lgpl)(?: license)?(?: version| v)? ?2 1"),
+    ("lgpl-3.0", " lgpl| lesser general public| library general public", r"(?:gnu )?(?:(?:lesser|library) general public|lgpl)(?: license)?(?: version| v)? ?(?:3 0|3)"),
     ("lgpl", " lgpl ", r"(?:gnu )?lgpl"),
     ("lgpl", " lesser general public ", r"(?:gnu )?lesser general public"),
     ("agpl-3.0", " affero ", r"(?:gnu )?affero general public(?: license)?(?: version| v)? ?(?:3 0|3)"),
@@ -52,7 +52,7 @@ FAMILIES = [
     ("cddl-1.0", " common development ", r"common development and distribution"),
     ("cpl-1.0", " common public ", r"common public"),
     ("eupl-1.2", " european union public ", r"european union public"),
-    ("artistic-2.0", " artistic ", r"artistic(?: license)?(?: version| v)? ?2 0"),
+    ("artistic-2.0", " artistic", r"artistic(?: license)?(?: version| v)? ?2 0"),
     ("artistic", " artistic ", r"(?:clarified )?artistic"),
     ("zlib", " zlib ", r"zlib(?: libpng)?"),
     ("libpng", " libpng ", r"libpng"),
@@ -66,7 +66,7 @@ FAMILIES = [
     ("openssl", " openssl ", r"openssl"),
     ("ofl-1.1", " open font ", r"(?:sil )?open font"),
     ("ms-pl", " microsoft public ", r"microsoft public"),
-    ("odbl-1.0", " open database ", r"open (?:data commons )?(?:open )?database"),
+    ("odbl-1.0", " open database | open data commons ", r"open (?:data commons )?(?:open )?database"),
 ]
 #: Fixed values: (confidence, form); each family is tried in each form.
 FORMS = [
@@ -77,12 +77,12 @@ FORMS = [
     (0.75, r"licen[cs]es? (?:is |type |name )?(?:the )?{name}"),
     (0.7, r"{name}(?: public)? licen[cs]e(?: version| v)?(?: \d)?(?: \d)?"),
 ]
-#: Single signatures (label, keyword, pattern, confidence).
+#: Single signatures (label, keywords, pattern, confidence).
 SINGLE = [
     ("mit", " permission is hereby granted ", r"permission is hereby granted free of charge to any person obtaining a copy", 0.9),
     ("isc", " permission to use ", r"permission to use copy modify and (?:or )?distribute this software for any purpose", 0.9),
     ("bsd", " redistribution and use ", r"redistribution and use in source and binary forms with or without modification are permitted", 0.9),
-    ("gpl", " free software foundation ", r"redistribute it and or modify it under the terms of the gnu general public license", 0.95),
+    ("gpl", " redistribute it and ", r"redistribute it and or modify it under the terms of the gnu general public license", 0.95),
     ("public-domain", " public domain ", r"(?:dedicated|released|placed) (?:in)?to the public domain|in the public domain", 0.8),
     ("cc0-1.0", " cc0 ", r"cc0(?: 1 0)?(?: universal)?", 0.9),
     ("all-rights-reserved", " all rights reserved ", r"all rights reserved", 0.5),
@@ -106,7 +106,7 @@ def rules() -> list[dict]:
     for label, kw, name in FAMILIES:
         out += [{"label": label, "kw": kw, "rx": form.replace("{name}", name), "score": score} for score, form in FORMS]
     specific = lambda r: (-any(c.isdigit() for c in r["label"]), -r["label"].count("-"))
-    return [r | {"priority": i} for i, r in enumerate(sorted(out, key=specific))]
+    return [r | {"kw": r["kw"].split("|"), "priority": i} for i, r in enumerate(sorted(out, key=specific))]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -132,7 +132,7 @@ def _starts(text: Column, mark: str) -> Column:
 
 def detections(words: Column) -> Column:
     """All rules' detections in a normalized text: label, first and last word, priority, score."""
-    known = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,kw:string,rx:string,score:double,priority:int>>")
+    known = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,kw:array<string>,rx:string,score:double,priority:int>>")
 
     def of(rule: Column) -> Column:
         # `!` is in no normalized text: it marks where the pattern matches.
@@ -141,7 +141,7 @@ def detections(words: Column) -> Column:
         sizes = F.transform(F.regexp_extract_all(words, pattern, F.lit(1)), lambda m: _spaces(m) + 1)
         return F.zip_with(starts, sizes, lambda a, n: F.struct(a.alias("first"), (a + n - 1).alias("last"), rule["priority"].alias("priority"), rule["score"].alias("score"), rule["label"].alias("label")))
 
-    return F.flatten(F.transform(F.filter(known, lambda r: F.contains(words, r["kw"])), of))
+    return F.flatten(F.transform(F.filter(known, lambda r: F.exists(r["kw"], lambda kw: F.contains(words, kw))), of))
 
 
 def surviving(found: Column) -> Column:

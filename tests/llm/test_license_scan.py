@@ -1,6 +1,8 @@
 """op10: base phrases against brute force; labels of known texts."""
 
+import itertools
 import re
+from re import _parser
 
 import pytest
 from hypothesis import given, settings
@@ -59,6 +61,59 @@ def test_labels(spark, text, labels):
     assert r.labels == labels and (r.score > 0) == bool(labels) and 0 <= r.score <= 1
 
 
+def strings(parsed):
+    """One string for each choice of alternatives and optional parts of a parsed pattern."""
+    parts = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "IN":
+            parts.append(["1"] if str(arg[0][0]) == "CATEGORY" else [chr(c) for _, c in arg])
+        elif name == "BRANCH":
+            parts.append([s for one in arg[1] for s in strings(one)])
+        elif name == "SUBPATTERN":
+            parts.append(list(strings(arg[3])))
+        else:
+            assert name == "MAX_REPEAT" and arg[:2] == (0, 1), name
+            parts.append(["", *strings(arg[2])])
+    return ["".join(p) for p in itertools.product(*parts)]
+
+
+def test_keywords_are_in_every_match():
+    single = [r for r in L.rules() if not any(r["rx"] == form.replace("{name}", name) for _, form in L.FORMS for _, _, name in L.FAMILIES)]
+    assert len(single) == len(L.SINGLE) + 2 * len(L.CC_KINDS)
+    checks = [(r["kw"], r["rx"], r["rx"]) for r in single]
+    checks += [(r["kw"], name, r["rx"]) for _, _, name in L.FAMILIES for r in L.rules() if r["rx"] == f"spdx license identifier {name}(?: or later| only)?"]
+    assert len(checks) == len(single) + len(L.FAMILIES)
+    for keywords, pattern, rx in checks:
+        for s in strings(_parser.parse(pattern)):
+            text = f" {s} " if pattern == rx else f" spdx license identifier {s} "
+            assert re.search(f"(?<= )({rx})(?= )", text), text
+            assert any(k in text for k in keywords), (keywords, text)
+            assert any(g in text for g in L.GATE), text
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under the GPL v2", "gpl-2.0"),
+        ("SPDX-License-Identifier: GPL2", "gpl-2.0"),
+        ("Licensed under the GNU General Public License v3", "gpl-3.0"),
+        ("Licensed under the LGPL v2.1", "lgpl-2.1"),
+        ("Licensed under the GNU Library General Public License v3", "lgpl-3.0"),
+        ("SPDX-License-Identifier: 0BSD", "0bsd"),
+        ("under the FreeBSD license", "bsd-2-clause"),
+        ("under the Berkeley license", "bsd"),
+        ("under the Open Data Commons Database License", "odbl-1.0"),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
+    ],
+)
+def test_labels_by_each_alternative(spark, text, labels):
+    r = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.labels == labels and r.score > 0.5
+
+
 def test_rules_are_hundreds_and_compile():
     rules = L.rules()
     assert len(rules) > 250 and len({r["priority"] for r in rules}) == len(rules)
