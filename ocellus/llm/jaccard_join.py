@@ -6,21 +6,25 @@ the number of differing blocks never exceeds the symmetric difference ``d`` of
 the sets.  A similarity of at least 3/4 means ``d <= (|A| + |B|) / 7``, and so
 the documents share one of their first ``|A| / 3 + 1`` blocks in any common
 order (pigeonhole).  These blocks are the join keys.  Sketches have a block
-count for each size band (for sets of under 256, a block for each hash), and a
-document whose partners may fall into the next band has keys there too.
+count for each size band, and a document whose partners may fall into the next
+band has keys there too.
 
-Blocks hold whole 64-bit words, not single bits: one-bit blocks of texts of
-some hundred shingles agree by chance for one pair in ten.
+Blocks hold whole 64-bit words, not single bits, and there are many more than
+shingles: in a dense sketch of one-bit blocks, blocks that no shingle or by
+chance the same number of shingles touched agree for one pair in ten.
 
 What keeps hot groups linear:
 
 * documents with equal sets are one node, named by a hash of the set;
-* blocks that many documents hold come last in the common order, so a passage
-  in thousands of documents is no key while a document has enough others;
-* a large group of a key is compared with its leaders only; members that do
-  not end up in the component of most of the group are then compared with all
-  of the group outside their own component, so no link between components is
-  missed.
+* blocks that many documents hold come last in the common order, rarest first,
+  so a passage in thousands of documents is no key while a document has enough
+  others, and what stands before it is known to differ;
+* a large group of a key is compared with its leaders only;
+* members that do not end up in the component of most of the group differ from
+  that component's centre ``X`` by more than links allow.  Two members that
+  link, one of them such, must agree in part of what sets them apart from
+  ``X`` (:func:`differences`), so they are joined on these differences, rarest
+  first, instead of being compared with all of the group.
 
 Candidates whose bit sketches (each shingle flips one bit) differ in more bits
 than the sets may differ are dropped; the rest are verified on whole sets.
@@ -30,11 +34,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ocellus.llm._arrow import drop_written, slices, written
@@ -51,14 +56,15 @@ GROUP = 24
 #: Ids up to which a set of documents is looked up by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
-SETS = "doc_id long, n long, sig long, bits array<long>, hot_key long, hot_n long"
+SETS = "doc_id long, text_hash long, n long, sig long, bits array<long>, hot_key long, hot_n long"
 KEYS = "key long, sig long, n long"
-#: A key's row has the set's size, whether blocks may hold several shingles, and the key's place, in one number.
-SIZE_AT, BLOCKS_AT = 25, 24
-PLACES = (1 << BLOCKS_AT) - 1
-#: The smallest band whose blocks may hold several shingles.
-BLOCKS_FROM = 2
+#: A key's row has the set's size and the differences that the keys before it prove, in one number.
+SIZE_AT = 25
+PLACES = (1 << SIZE_AT) - 1
+#: Blocks of a sketch for each shingle of the largest set of its band, as a power of two; and of all, at most.
+SPREAD, MOST_BLOCKS = 12, 32
 FOUND = "key long, a long, b long"
+APART = "x long, element long, place long, rest long, sig long, n long, root long, minor boolean"
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -100,23 +106,26 @@ def signature(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketch_keys(shingles: np.ndarray, band: int) -> np.ndarray:
-    """A key for each block of the set's sketch that holds a shingle, in the order of the blocks.
+def _block_of(shingles: np.ndarray, band: int) -> np.ndarray:
+    blocks = np.uint64(min(1 << MOST_BLOCKS, BAND ** (band + 1) << SPREAD))
+    return (shingles >> np.uint64(32)) * blocks >> np.uint64(32)
 
-    Blocks are ranges of the hash, so those of a sorted set are runs.  The
-    bands below ``BLOCKS_FROM`` have a block for each possible hash.
-    """
-    if band < BLOCKS_FROM:
-        words = shingles
-        block = shingles
-    else:
-        block = (shingles >> np.uint64(32)) * np.uint64(4 * BAND ** (band + 1)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        words, block = np.bitwise_xor.reduceat(shingles, first), block[first]
+
+def _key_of(words: np.ndarray, block: np.ndarray, band: int) -> np.ndarray:
     salt = np.full(1, band + 1, np.uint64) * _MIX[1]
     return _scramble(_scramble(words + salt) + block * _MIX[2]).view(np.int64)
 
 
+def sketch_keys(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each block of the set's sketch that holds a shingle, in the order of the blocks; and how many it holds.
+
+    Blocks are ranges of the hash, so those of a sorted set are runs.
+    """
+    block = _block_of(shingles, band)
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    return _key_of(np.bitwise_xor.reduceat(shingles, first), block[first], band), np.diff(np.append(first, len(shingles)))
+
+
 def bands(n: int) -> list[int]:
     """The bands in which a set of ``n`` shingles has keys: its own, and the next if a partner may lie there."""
     own = 0
@@ -125,31 +134,64 @@ def bands(n: int) -> list[int]:
     return [own, own + 1] if 4 * n >= 3 * BAND ** (own + 1) else [own]
 
 
-def leading_keys(shingles: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The join keys: in each band the first |A| / 3 + 1 keys, those in ``hot`` (sorted) last; and their rows' numbers."""
+@dataclass
+class HotKeys:
+    """Keys that many documents hold, sorted, with each one's rank by frequency."""
+
+    keys: np.ndarray
+    ranks: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> HotKeys:
+        ranks = np.empty(len(keys), np.int64)
+        ranks[np.lexsort((keys, counts))] = np.arange(len(keys))
+        by = np.argsort(keys)
+        return cls(keys[by], ranks[by])
+
+    def order(self, keys: np.ndarray) -> np.ndarray:
+        """Places that put the keys into the common order: by number, then the hot ones from the rarest on."""
+        plain = np.argsort(keys)
+        if not len(self.keys):
+            return plain
+        at = np.minimum(np.searchsorted(self.keys, keys[plain]), len(self.keys) - 1)
+        hot = self.keys[at] == keys[plain]
+        behind = np.flatnonzero(hot)
+        return np.concatenate([plain[~hot], plain[behind[np.argsort(self.ranks[at[behind]])]]])
+
+
+def leading_keys(shingles: np.ndarray, hot: HotKeys) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys: in each band the first |A| / 3 + 1 keys; and their rows' numbers.
+
+    If a key is the first that two sets share, each block before it differs.
+    One that holds a single shingle is a difference of its own, as far as the
+    other set's block there is none with several; so ``2 - shingles`` of each
+    block before it may be counted as differences on either side.
+    """
     need = len(shingles) // 3 + 1
     out, rows = [], []
     for band in bands(len(shingles)):
-        keys = np.sort(sketch_keys(shingles, band))
-        if len(hot) and need < len(keys):
-            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-            is_hot = hot[at] == keys
-            keys = np.concatenate([keys[~is_hot], keys[is_hot]])
-        out.append(keys[:need])
-        rows.append(np.arange(len(out[-1])) | len(shingles) << SIZE_AT | (band >= BLOCKS_FROM) << BLOCKS_AT)
+        keys, held = sketch_keys(shingles, band)
+        by = hot.order(keys)[:need]
+        proven = np.concatenate([[0], np.cumsum(2 - held[by])[:-1]])
+        out.append(keys[by])
+        rows.append(np.maximum(proven, 0) | len(shingles) << SIZE_AT)
     return np.concatenate(out), np.concatenate(rows)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("text_hash"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, set size and set name of each document; and blocks that a batch holds twice or more, with counts."""
+    """doc_id, text hash, set size and set name of each document; and blocks that a batch holds twice or more, with counts."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(doc_id=None, n=None, sig=None, bits=None, hot_key=None, hot_n=None) -> pa.RecordBatch:
-            columns = {"doc_id": doc_id, "n": n, "sig": sig, "bits": bits, "hot_key": hot_key, "hot_n": hot_n}
+        def rows(doc_id=None, text_hash=None, n=None, sig=None, bits=None, hot_key=None, hot_n=None) -> pa.RecordBatch:
+            columns = {"doc_id": doc_id, "text_hash": text_hash, "n": n, "sig": sig, "bits": bits, "hot_key": hot_key, "hot_n": hot_n}
             size = len(n if n is not None else hot_key)
             kind = lambda c: pa.list_(pa.int64()) if c == "bits" else pa.int64()
             return pa.RecordBatch.from_arrays([pa.nulls(size, kind(c)) if v is None else pa.array(v, kind(c)) for c, v in columns.items()], names=list(columns))
@@ -172,9 +214,9 @@ def described(docs: DataFrame) -> DataFrame:
                     sig.append(signature(own) if len(own) else None)
                     if len(own) and sig[-1] not in seen:
                         seen.add(sig[-1])
-                        keys += [sketch_keys(own, band) for band in bands(len(own))]
+                        keys += [sketch_keys(own, band)[0] for band in bands(len(own))]
                         held += len(own)
-                yield rows(batch.column(0).slice(first, len(texts)), n, sig, bits)
+                yield rows(batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), n, sig, bits)
                 if held > 6_000_000:
                     yield often(keys)
                     keys, held = [], 0
@@ -184,19 +226,19 @@ def described(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(describe, SETS)
 
 
-def hot_keys(described_: DataFrame, least: int = HOT, most: int = MAX_HOT) -> np.ndarray:
-    """The sorted keys of blocks that many documents hold; they only change the order of keys."""
+def hot_keys(described_: DataFrame, least: int = HOT, most: int = MAX_HOT) -> HotKeys:
+    """The keys of blocks that many documents hold; they only change the order of keys."""
     counts = described_.where("hot_key is not null").groupBy("hot_key").agg(F.sum("hot_n").alias("n"))
     counts = written(counts.where(F.col("n") >= least))
     while counts.where(F.col("n") >= least).count() > most:
         least *= 2
-    found = counts.where(F.col("n") >= least).select("hot_key").toArrow().column(0).to_numpy()
+    found = counts.where(F.col("n") >= least).select("hot_key", "n").toArrow()
     drop_written(counts)
-    return np.sort(found)
+    return HotKeys.of(found.column(0).to_numpy(), found.column(1).to_numpy())
 
 
-def keyed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """A row (key, set name, size and place) for each join key; a batch names equal sets once."""
+def keyed(docs: DataFrame, hot: HotKeys) -> DataFrame:
+    """A row (key, set name, size and differences) for each join key; a batch names equal sets once."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,15 +272,8 @@ def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _first(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether sets that are similar may have this key as the first they share.
-
-    If so, all keys before it are differences: each is a shingle of its own,
-    or, where blocks may hold several, one difference may stand behind a key
-    of either set.
-    """
-    p, q = n & PLACES, m & PLACES
-    differ = np.where(n >> BLOCKS_AT & 1, np.maximum(p, q), p + q)
-    return 7 * differ <= (n >> SIZE_AT) + (m >> SIZE_AT)
+    """Whether sets that are similar may have this key as the first they share."""
+    return 7 * ((n & PLACES) + (m & PLACES)) <= (n >> SIZE_AT) + (m >> SIZE_AT)
 
 
 class Grouper:
@@ -339,39 +374,49 @@ def _folded(bits: Column, words: Column) -> Column:
     return F.when(F.size(bits) > words, halves).otherwise(bits)
 
 
+def _first_ids(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, text_hash) of one text of each wanted set."""
+    return sets.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("text_hash").alias("text_hash"))
+
+
 def promising(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose bit sketches allow a similarity of 3/4; and, for the sets in them, (sig, doc_id).
+    """Pairs whose bit sketches allow a similarity of 3/4; and, for the sets in them, (sig, text_hash).
 
     The sketches' Hamming distance is at most the symmetric difference, which
     is at most a seventh of the sets' sizes together.
     """
-    named = sets.where("doc_id is not null")
-    ids = named.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    own = written(named.join(ids, ["sig", "doc_id"]).select("sig", "doc_id", "n", "bits"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    own = written(sets.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     left, right = (own.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}")) for c in "ab")
     both = pairs.join(right, "b").join(left, "a")
     words = F.least(F.size("sa"), F.size("sb"))
     flipped = F.zip_with(_folded(F.col("sa"), words), _folded(F.col("sb"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     distance = F.aggregate(flipped, F.lit(0), lambda t, x: t + x)
     near = written(both.where(7 * distance <= F.col("na") + F.col("nb")).select("a", "b").distinct())
-    return near, own.select("sig", "doc_id")
+    return near, own.select("sig", "text_hash")
 
 
 def _sets(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """sig and hashes of the named sets, from the documents (sig, doc_id)."""
+    """sig and hashes of the named sets, from the texts (sig, text_hash)."""
     names = written(names)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[int] = set()
             for first, texts in slices(batch, "text"):
-                own = [set_of(t) for t in texts]
-                right = [signature(o) == s for o, s in zip(own, batch.column(0).slice(first, len(texts)).to_pylist(), strict=True)]
-                own = [o.view(np.int64) for o, r in zip(own, right, strict=True) if r]
-                sig = batch.column(0).slice(first, len(texts)).filter(pa.array(right))
-                offsets = pa.array(np.cumsum([0] + [len(o) for o in own]), pa.int32())
-                yield pa.RecordBatch.from_arrays([sig, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))], names=["sig", "hashes"])
-
-    out = written(_texts(docs).join(_small(names), "doc_id").select("sig", "text").mapInArrow(hashes, "sig long, hashes array<long>"))
+                held, sigs = [], []
+                for text, sig in zip(texts, batch.column(0).slice(first, len(texts)).to_pylist(), strict=True):
+                    if sig not in seen and signature(own := set_of(text)) == sig:
+                        seen.add(sig)
+                        held.append(own.view(np.int64))
+                        sigs.append(sig)
+                if held:
+                    offsets = pa.array(np.cumsum([0] + [len(o) for o in held]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held)))], names=["sig", "hashes"])
+
+    found = _texts(docs).join(_small(names), "text_hash").select("sig", "text").mapInArrow(hashes, "sig long, hashes array<long>")
+    # Copies of a text in several batches name a set several times.
+    out = written(found.dropDuplicates(["sig"]))
     drop_written(names)
     return out
 
@@ -417,56 +462,136 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def across(large: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of a large group that lie in different components, as far as not tried yet.
+def differences(own: np.ndarray, centre: np.ndarray, minor: bool, hot: HotKeys) -> tuple[np.ndarray, int]:
+    """What sets a set apart from a centre ``X``, in an order common to all sets, as far as linked sets must share of it.
 
-    Each group's rows outside its most frequent component are paired with all
-    rows of other components, a fitting size, and a place at which the key may
-    be the first that similar sets share.
+    With ``D`` for the symmetric difference to ``X``, sets A and B differ by
+    ``|D_A| + |D_B| - 2 |D_A & D_B|``, at most ``(|A| + |B|) / 7`` if they
+    link.  A minor set A does not link with X: ``|D_A| > (|A| + |X|) / 7``.
+    As ``|B|`` is at most ``|X| + |D_B|``, it shares more than ``3/7 |D_B|``
+    with B; and, as ``|D_B|`` is at least the difference of the sizes, at
+    least ``|D_A| / 2 - (|A| + |X|) / 14``.  So one shared element, the first
+    in any common order, lies so far from the end.  Shingles that X lacks come
+    first, the hot ones of them last; then those that only X has.
     """
-    rows = large.select("key", F.col("a").alias("sig"), F.col("b").alias("row")).join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "row", F.coalesce("root", "sig").alias("root"))
-    rows = written(rows)
+    more, fewer = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
+    # The keys of blocks that hold one shingle alone; the rest may stay in any order.
+    band = bands(len(centre))[0]
+    more = more[hot.order(_key_of(more, _block_of(more, band), band))]
+    apart = np.concatenate([more, fewer])
+    shared = 3 * len(apart) // 7 + 1
+    if minor:
+        shared = min(shared, max(1, -((len(own) + len(centre) - 7 * len(apart)) // 14)))
+    return apart[: max(0, len(apart) - shared + 1)].view(np.int64), len(apart)
+
+
+def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFrame, links: DataFrame, sets: DataFrame, hot: HotKeys, tried: DataFrame) -> DataFrame:
+    """Pairs of a large group that lie in different components and may link, as far as not tried yet.
+
+    Each group has the component of most of its rows; the set with most links
+    in that component is the group's centre.  Rows of groups with the same
+    centre are one row.  Pairs of these of which one is in another component
+    are joined where they share one of their differences to the centre.
+    """
+    rooted = comps.withColumnRenamed("node", "sig")
+    rows = written(large.select("key", F.col("a").alias("sig"), F.shiftright("b", SIZE_AT).alias("n")).join(rooted, "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    sized = [F.shiftright("row", SIZE_AT).alias("n"), F.col("row").bitwiseAND(PLACES).alias("p"), F.shiftright("row", BLOCKS_AT).bitwiseAND(1).alias("blocks")]
-    split = rows.join(main, "key").select("key", "sig", "root", "main", *sized)
-    minor = split.where("root <> main").select("key", F.col("sig").alias("s"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("r"))
-    other = split.select("key", "sig", "n", "p", "blocks", "root")
-    differ = F.when(F.col("blocks") == 1, F.greatest("p", "q")).otherwise(F.col("p") + F.col("q"))
-    met = minor.join(other, "key").where((F.col("r") != F.col("root")) & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (7 * differ <= F.col("n") + F.col("m")))
-    pairs = met.select(F.least("s", "sig").alias("a"), F.greatest("s", "sig").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    main = written(counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main"))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
+    of_main = rooted.join(main.select(F.col("main").alias("root")).distinct(), "root", "left_semi").join(degrees, "sig", "left")
+    centres = of_main.groupBy("root").agg(F.max_by("sig", F.struct(F.coalesce("links", F.lit(0)), "sig")).alias("x"))
+    centred = main.join(centres.withColumnRenamed("root", "main"), "main", "left").select("key", "main", F.coalesce("x", "main").alias("x"))
+    members = written(rows.join(centred, "key").select("x", "sig", "n", "root", (F.col("root") != F.col("main")).alias("minor")).distinct())
+    drop_written(rows)
+    drop_written(main)
+    wanted = members.select(F.explode(F.array("x", "sig")).alias("sig")).distinct()
+    whole = _sets(docs, _first_ids(sets, wanted))
+    both = members.join(whole, "sig").join(whole.select(F.col("sig").alias("x"), F.col("hashes").alias("centre")), "x").select("x", "centre", "sig", "hashes", "n", "root", "minor")
+    sent = spark.sparkContext.broadcast(hot)
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, sig, n, root, minor = (batch.column(i)[row].as_py() for i in (0, 2, 4, 5, 6))
+                centre, own = (batch.column(i)[row].values.to_numpy().view(np.uint64) for i in (1, 3))
+                elements, size = differences(own, centre, minor, sent.value)
+                k = len(elements)
+                if k:
+                    place = np.arange(k)
+                    same = lambda v: np.full(k, v, np.int64)  # noqa: E731, B023
+                    columns = [same(x), elements, place, size - place, same(sig), same(n), same(root)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(k, minor))], names=[c.split()[0] for c in APART.split(", ")])
+
+    apart = written(both.mapInArrow(emit, APART))
+    minor = apart.where("minor").select("x", "element", *[F.col(c).alias(f"{c}_a") for c in ("place", "rest", "sig", "n", "root")])
+    size = F.col("n") + F.col("n_a")
+    fits = (F.col("root") != F.col("root_a")) & (4 * F.least("n", "n_a") >= 3 * F.greatest("n", "n_a")) & (7 * (F.col("place") + F.col("place_a") + F.abs(F.col("rest") - F.col("rest_a"))) <= size)
+    met = minor.join(apart, (["x", "element"])).where(fits)
+    pairs = met.select(F.least("sig", "sig_a").alias("a"), F.greatest("sig", "sig_a").alias("b")).distinct()
+    out = written(pairs.join(tried, ["a", "b"], "left_anti"))
+    for done in (members, whole, apart):
+        drop_written(done)
+    return out
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document.
 
-    Two documents link when their sets of 5-word shingles have a Jaccard
-    similarity of 3/4 or more; a component is named by its smallest doc_id.
-    Null, empty and blank texts have an empty set and are linked with nothing.
-    Rows with a null doc_id have a null component and link with nothing.
-    Repeated rows give a row each.  An empty table has no rows.
-    """
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, sig) of each row, and (node, root) of the sets that link."""
     spark = docs.sparkSession
     seen = written(described(docs))
-    sets = seen.where("hot_key is null").select("doc_id", "n", "sig", "bits")
-    found = written(grouped(keyed(docs, hot_keys(seen))))
+    sets = seen.where("hot_key is null").select("doc_id", "text_hash", "n", "sig", "bits")
+    hot = hot_keys(seen)
+    found = written(grouped(keyed(docs, hot)))
     pairs = written(found.where("key is null").select("a", "b").distinct())
     links = verified(docs, pairs, sets)
     comps = components(spark, links)
-    more = written(across(found.where("key is not null"), comps, pairs))
+    more = across(spark, docs, found.where("key is not null"), comps, links, sets, hot, pairs)
     if more.limit(1).count():
         links = links.unionByName(verified(docs, more, sets))
         comps = components(spark, links)
-    drop_written(found)
-    drop_written(pairs)
-    named = sets.select("doc_id", "n", "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))
+    for done in (found, pairs, more):
+        drop_written(done)
+    return sets.select("doc_id", "text_hash", "n", "sig"), comps
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document.
+
+    Two documents link when their sets of 5-word shingles have a Jaccard
+    similarity of 3/4 or more; a component is named by its smallest doc_id.
+    Null, empty and blank texts have an empty set and are linked with nothing.
+    Rows with a null doc_id have a null component; texts that link through
+    them are still one component.  Repeated rows give a row each.  An empty
+    table has no rows.
+    """
+    rows, comps = _components(docs)
+    named = rows.select("doc_id", "n", "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
     out = named.join(first, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with only the smallest doc_id of each component; all columns stay."""
-    dropped = written(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(_small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component; all columns stay.
+
+    It is a row with the smallest doc_id (null ids last) and, of rows with
+    that doc_id, one text; which of several rows alike in both is kept is not
+    defined, as long as one is.  Rows without words all stay: they link with
+    nothing.  An empty table stays empty.
+    """
+    rows, comps = _components(docs)
+    named = rows.where("sig is not null").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "text_hash", F.coalesce("root", "sig").alias("root"))
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    chosen = named.groupBy("root").agg(F.min(name).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    judged = written(named.join(chosen, "root").groupBy("doc_id", "text_hash").agg(F.first(name == F.col("best")).alias("best"), F.count("*").alias("rows")))
+    judged = judged.select(F.col("doc_id").alias("_ocellus_id"), F.col("text_hash").alias("_ocellus_text"), "best", "rows")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_ocellus_id")) & (_text_hash() == F.col("_ocellus_text"))
+    dropped, again = judged.where("not best"), judged.where("best and rows > 1")
+    kept = docs.join(_small(dropped), own, "left_anti")
+    if again.limit(1).count():
+        # Repeated rows of the row that stays: all but one of them go.
+        again = _small(again)
+        single = kept.join(again, own, "left_anti")
+        order = Window.partitionBy("_ocellus_id", "_ocellus_text").orderBy(F.lit(0))
+        repeated = kept.join(again, own).withColumn("_ocellus_n", F.row_number().over(order)).where("_ocellus_n = 1")
+        kept = single.unionByName(repeated.select(*docs.columns))
+    return kept.select(*docs.columns)

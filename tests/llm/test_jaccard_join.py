@@ -11,6 +11,9 @@ from ocellus.llm import jaccard_join as J
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+NO_KEYS = J.HotKeys.of(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -76,6 +79,66 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, c in brute(rows) if c == d)
 
 
+def test_keep_one_of_repeated_rows(spark):
+    w, z = "a b c d e f", "q r s t u v"
+    rows = [(1, w), (1, w), (5, w), (5, z), (None, w), (None, "x y z"), (None, "x y z"), (7, None), (7, None), (8, " ")]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, w), (5, z), (None, "x y z"), (7, None), (7, None), (8, " ")], key=str)
+    assert J.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def family(seed, copies, edits, words=140):
+    """Copies of one text with many edits each: most link with few others, and all share hot keys."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(words)]
+    rows = [" ".join(edited(r, base, r.choice(edits))) for _ in range(copies)]
+    for text in rows[: copies // 8]:
+        rows.append(" ".join(edited(r, text.split(" "), 1)))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_a_large_group_of_which_few_link(spark, seed, monkeypatch):
+    rows = family(seed, 400, [0, 1, 4, 5, 6, 7])
+    made = []
+    across = J.across
+
+    def counted(*args):
+        out = across(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "across", counted)
+    got = sorted((tuple(r) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert len({c for _, _, c in got}) > 20 and made[0] < 10 * len(rows)
+
+
+def test_linked_sets_share_a_difference():
+    r = np.random.default_rng(8)
+    linked = 0
+    for _ in range(3000):
+        x = np.unique(r.integers(0, 2**63, 120, dtype=np.uint64))
+        far = np.sort(np.concatenate([r.permutation(x)[int(r.integers(15, 60)) :], np.unique(r.integers(0, 2**63, int(r.integers(0, 40)), dtype=np.uint64))]))
+        a, b = (np.sort(np.concatenate([r.permutation(far)[int(r.integers(0, 9)) :], np.unique(r.integers(0, 2**63, int(r.integers(0, 9)), dtype=np.uint64))])) for _ in range(2))
+        link = lambda p, q: 7 * len(np.setxor1d(p, q)) <= len(p) + len(q)
+        if link(a, b) and not link(a, x):
+            linked += 1
+            (d, m), (e, k) = J.differences(a, x, True, NO_KEYS), J.differences(b, x, not link(b, x), NO_KEYS)
+            both, at, to = np.intersect1d(d, e, return_indices=True)
+            assert len(both) and (7 * (at + to + abs((m - at) - (k - to))) <= len(a) + len(b)).any()
+    assert linked > 300
+
+
+def test_long_texts(spark):
+    r = random.Random(6)
+    long = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(edited(r, long, 2000))), (3, "same " * 300_000), (4, "same " * 7), (5, " ".join(long[:150_000]))]
+    got = {d: c for d, _, c in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_empty(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -88,9 +151,10 @@ def test_similar_sets_share_a_leading_key():
             drop = int(r.integers(0, n // 4 + 1))
             b = np.sort(np.concatenate([r.permutation(a)[drop:], np.unique(r.integers(0, 2**63, int(r.integers(0, n // 8 + 1)), dtype=np.uint64))]))
             both = len(np.intersect1d(a, b))
-            hot = np.sort(np.concatenate([J.sketch_keys(a, k)[:: 3] for k in J.bands(len(a))]))
+            hot = np.unique(np.concatenate([J.sketch_keys(a, k)[0][::3] for k in J.bands(len(a))]))
+            hot = J.HotKeys.of(hot, r.integers(40, 60, len(hot)))
             if 100 * both >= 75 * (len(a) + len(b) - both):
-                for h in (np.zeros(0, np.int64), hot):
+                for h in (NO_KEYS, hot):
                     (x, i), (y, j) = J.leading_keys(a, h), J.leading_keys(b, h)
                     both_keys, at, to = np.intersect1d(x, y, return_indices=True)
                     assert len(both_keys) and J._first(i[at], j[to]).any() and J._alike(i[at], j[to]).all(), (n, len(b))
