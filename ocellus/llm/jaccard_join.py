@@ -58,9 +58,9 @@ BROADCAST_IDS = 500_000
 
 SETS = "doc_id long, text_hash long, n long, sig long, bits array<long>, hot_key long, hot_n long"
 KEYS = "key long, sig long, n long"
-#: A key's row has the set's size and the differences that the keys before it prove, in one number.
-SIZE_AT = 25
-PLACES = (1 << SIZE_AT) - 1
+#: A key's row has the set's size class, the differences that the keys before it prove, and the set's size, in one number.
+CLASS_AT, PLACE_AT = 50, 25
+PART = (1 << PLACE_AT) - 1
 #: Blocks of a sketch for each shingle of the largest set of its band, as a power of two; and of all, at most.
 SPREAD, MOST_BLOCKS = 12, 32
 FOUND = "key long, a long, b long"
@@ -134,6 +134,11 @@ def bands(n: int) -> list[int]:
     return [own, own + 1] if 4 * n >= 3 * BAND ** (own + 1) else [own]
 
 
+def packed(size: int, place: np.ndarray) -> np.ndarray:
+    """A row's number; in a key's group it puts the row with the least differences of a size class first."""
+    return int(np.log(max(size, 1)) / np.log(1.15)) << CLASS_AT | place << PLACE_AT | size
+
+
 @dataclass
 class HotKeys:
     """Keys that many documents hold, sorted, with each one's rank by frequency."""
@@ -174,7 +179,7 @@ def leading_keys(shingles: np.ndarray, hot: HotKeys) -> tuple[np.ndarray, np.nda
         by = hot.order(keys)[:need]
         proven = np.concatenate([[0], np.cumsum(2 - held[by])[:-1]])
         out.append(keys[by])
-        rows.append(np.maximum(proven, 0) | len(shingles) << SIZE_AT)
+        rows.append(packed(len(shingles), np.maximum(proven, 0)))
     return np.concatenate(out), np.concatenate(rows)
 
 
@@ -261,19 +266,15 @@ def keyed(docs: DataFrame, hot: HotKeys) -> DataFrame:
     return _texts(docs).mapInArrow(emit, KEYS)
 
 
-def _size_class(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n >> SIZE_AT, 1)) / np.log(1.15)).astype(np.int64)
-
-
 def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether two rows' set sizes allow a similarity of 3/4."""
-    n, m = n >> SIZE_AT, m >> SIZE_AT
+    n, m = n & PART, m & PART
     return 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
 
 
 def _first(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether sets that are similar may have this key as the first they share."""
-    return 7 * ((n & PLACES) + (m & PLACES)) <= (n >> SIZE_AT) + (m >> SIZE_AT)
+    return 7 * ((n >> PLACE_AT & PART) + (m >> PLACE_AT & PART)) <= (n & PART) + (m & PART)
 
 
 class Grouper:
@@ -327,7 +328,7 @@ class Grouper:
             if goes_on:
                 lead = self.large
                 k, s, m = (np.concatenate([[v], x]) for v, x in zip(lead, (k, s, m), strict=True))
-            group = _size_class(m)
+            group = m >> CLASS_AT
             head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (group[1:] != group[:-1])]))
             leader = np.repeat(head, np.diff(np.append(head, len(k))))
             a, b = np.arange(len(k)), leader
@@ -482,7 +483,8 @@ def differences(own: np.ndarray, centre: np.ndarray, minor: bool, hot: HotKeys)
     shared = 3 * len(apart) // 7 + 1
     if minor:
         shared = min(shared, max(1, -((len(own) + len(centre) - 7 * len(apart)) // 14)))
-    return apart[: max(0, len(apart) - shared + 1)].view(np.int64), len(apart)
+    # All before the first shared element differs, which is at most (|A| + |B|) / 7, and so |A| / 3.
+    return apart[: max(0, min(len(apart) - shared, len(own) // 3) + 1)].view(np.int64), len(apart)
 
 
 def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFrame, links: DataFrame, sets: DataFrame, hot: HotKeys, tried: DataFrame) -> DataFrame:
@@ -494,14 +496,21 @@ def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFr
     are joined where they share one of their differences to the centre.
     """
     rooted = comps.withColumnRenamed("node", "sig")
-    rows = written(large.select("key", F.col("a").alias("sig"), F.shiftright("b", SIZE_AT).alias("n")).join(rooted, "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = written(counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main"))
+    size, place = F.col("b").bitwiseAND(PART), F.shiftright("b", PLACE_AT).bitwiseAND(PART)
+    # Two rows can link by the key as the first they share only if their sizes leave as much as the differences before it take.
+    rows = large.select("key", F.col("a").alias("sig"), size.alias("n"), (size - 7 * place).alias("left")).join(rooted, "sig", "left")
+    rows = written(rows.withColumn("root", F.coalesce("root", "sig")))
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("left").alias("left"))
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.max("left").alias("most")).where("roots > 1")
+    minor = counts.join(main, "key").where("root <> main and left + most >= 0")
+    main = written(minor.groupBy("key").agg(F.first("main").alias("main"), F.first("most").alias("most"), F.max("left").alias("minor_most")))
     degrees = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
     of_main = rooted.join(main.select(F.col("main").alias("root")).distinct(), "root", "left_semi").join(degrees, "sig", "left")
     centres = of_main.groupBy("root").agg(F.max_by("sig", F.struct(F.coalesce("links", F.lit(0)), "sig")).alias("x"))
-    centred = main.join(centres.withColumnRenamed("root", "main"), "main", "left").select("key", "main", F.coalesce("x", "main").alias("x"))
-    members = written(rows.join(centred, "key").select("x", "sig", "n", "root", (F.col("root") != F.col("main")).alias("minor")).distinct())
+    centred = main.join(centres.withColumnRenamed("root", "main"), "main", "left").withColumn("x", F.coalesce("x", "main"))
+    members = rows.join(centred, "key").withColumn("minor", F.col("root") != F.col("main"))
+    members = members.where(F.col("left") + F.when(F.col("minor"), F.col("most")).otherwise(F.col("minor_most")) >= 0)
+    members = written(members.select("x", "sig", "n", "root", "minor").distinct())
     drop_written(rows)
     drop_written(main)
     wanted = members.select(F.explode(F.array("x", "sig")).alias("sig")).distinct()

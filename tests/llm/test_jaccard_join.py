@@ -164,7 +164,7 @@ def test_similar_sets_share_a_leading_key():
 def test_grouper_is_independent_of_batches(size):
     r = np.random.default_rng(2)
     key = np.sort(r.choice([1, 2, 3, 4, 5], 400, p=[0.02, 0.5, 0.03, 0.4, 0.05]))
-    sig, n = r.integers(0, 10**6, 400), r.integers(80, 100, 400) << J.SIZE_AT | r.integers(0, 20, 400)
+    sig, n = r.integers(0, 10**6, 400), np.array([int(J.packed(int(r.integers(80, 100)), r.integers(0, 20))) for _ in range(400)])
     by = np.lexsort((sig, n, key))
     key, sig, n = key[by], sig[by], n[by]
     g, pairs, rows = J.Grouper(), set(), 0
