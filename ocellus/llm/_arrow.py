@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that are handled at once inside a Python worker.
 SLICE_CHARS = 2_000_000
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of a batch with their first row; null texts are empty.
 
@@ -33,12 +39,14 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterat
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has no such setting (as in tests) a local folder
-    is used instead.
+    Only where the session has no such setting and runs on one machine (as in
+    tests) a local folder is used instead; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         spark.sparkContext.setCheckpointDir("/tmp/ocellus-checkpoints")
         base = spark.sparkContext.getCheckpointDir()
@@ -50,13 +58,15 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._ocellus_folder = path
+    return out
 
 
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by :func:`written`."""
     spark = df.sparkSession
+    # Spark has no public way to delete files in the folder's file system.
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    path = jvm.org.apache.hadoop.fs.Path(df._ocellus_folder)
+    path.getFileSystem(conf).delete(path, True)

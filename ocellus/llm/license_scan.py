@@ -11,11 +11,12 @@ expressions.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.llm._arrow import let
+
 #: Base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
@@ -109,11 +110,6 @@ def rules() -> list[dict]:
     return [r | {"kw": r["kw"].split("|"), "priority": i} for i, r in enumerate(sorted(out, key=specific))]
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def normalized(text: Column) -> Column:
     """The words of a text, lower-cased A-Z, between single spaces, with one before and one behind."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

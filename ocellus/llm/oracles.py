@@ -53,7 +53,7 @@ def _op5() -> str:
         "symbols": "n_symbols / greatest(n_words, 1)", "exclamations": "n_exclamations / greatest(n_words, 1)", "capitals": "n_capitals / greatest(word_chars, 1)",
         "repeated_words": "n_repeat_words / greatest(n_words, 1)", "repeated_lines": "n_dup_lines / greatest(n_lines, 1)",
     }
-    ratios = ", ".join(ratio[r] for r in quality_rules.RULES)
+    level = "greatest(" + ", ".join(f"{ratio[r]} / {cutoff}::DOUBLE" for r, cutoff in quality_rules.RULES.items()) + ")"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {_SPACED.format("coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -64,13 +64,12 @@ m AS (
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_exclamations, length(text) - length(translate(text, '{upper}', '')) AS n_capitals
   FROM d LEFT JOIN rep ON d.r = rep.r
 ),
-x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{ratios}] AS v FROM m),
+x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {level} AS v FROM m),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-l AS (SELECT stratum, rule, v[rule] AS value FROM (SELECT stratum, v, unnest(range(1, {len(ratio) + 1})) AS rule FROM x JOIN good USING (doc_id) WHERE NOT base_failed)),
-t AS (SELECT stratum, rule, cutoff, count(*) AS n, count(CASE WHEN value > cutoff THEN 1 END) AS k FROM l, (SELECT unnest([{grid}]::DOUBLE[]) AS cutoff) GROUP BY stratum, rule, cutoff),
-p AS (SELECT *, count(*) OVER () AS tests, CASE WHEN k >= n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) END AS tail FROM t),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE tail <= {gap} / tests GROUP BY stratum, rule),
-bad AS (SELECT DISTINCT r FROM x JOIN cut USING (stratum) WHERE v[rule] > cutoff)
+t AS (SELECT stratum, cutoff, count(*) AS n, count(CASE WHEN v > cutoff THEN 1 END) AS k FROM x JOIN good USING (doc_id), (SELECT unnest([{grid}]::DOUBLE[]) AS cutoff) WHERE NOT base_failed GROUP BY stratum, cutoff),
+p AS (SELECT *, count(DISTINCT stratum) OVER () AS strata, CASE WHEN k >= n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) END AS tail FROM t),
+cut AS (SELECT stratum, min(cutoff) AS cutoff FROM p WHERE tail <= {gap} / strata GROUP BY stratum),
+bad AS (SELECT r FROM x JOIN cut USING (stratum) WHERE v > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM x
 """
 

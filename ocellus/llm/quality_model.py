@@ -1,128 +1,128 @@
 """Quality classifier: random-indexing word vectors and a two-layer network.
 
-Words are known by a bounded number of keys (their case pattern and ending, or
-their symbols), so unseen words have vectors too.  Every key has a sparse
-random index vector; its context vector is the sum of the index vectors of
-the keys within two words of it, over all documents.  A document is the mean
-of its words' vectors, weighted against frequent keys.  The network is
-trained with numpy on at most ``SAMPLE`` labelled documents, and a temperature
-fitted on a part of them held back makes its probabilities calibrated.
+Words are letter runs as they stand, numbers and runs of other characters.
+Every word has a sparse random index vector, found from its hash; its context
+vector is the sum of the index vectors of the words within two places of it,
+over all documents.  Vectors are kept in ``ROWS`` hashed rows, so memory stays
+bounded for a vocabulary of any size; words that share a row share a vector,
+which the more frequent one dominates.  A document is the mean of its words'
+vectors, weighted against frequent words.  The network is trained with numpy
+on at most ``SAMPLE`` labelled documents, and a temperature fitted on a part
+of them held back makes its probabilities calibrated.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm._arrow import slices
 
-KEYS = 2048
-DIMENSIONS = 64
+ROWS = 1 << 17
+DIMENSIONS = 32
 NONZERO = 4
 REACH = 2
 SAMPLE = 6000
 THRESHOLD = 0.3
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_CACHE: dict[str, int] = {}
-
-
-def key_of(token: str) -> int:
-    """Case pattern and last three letters of a word; length of a number; up to three symbols."""
-    if token[0].isdigit():
-        form = f"0{min(len(token), 5)}"
-    elif token[0].isalpha():
-        low = token.lower()
-        case = "l" if token == low else "U" if len(token) > 1 and token.isupper() else "T" if token[1:] == low[1:] else "m"
-        form = f"{case}{low[-3:]}"
-    else:
-        form = f"s{token[:3]}"
-    return zlib.crc32(form.encode()) % KEYS
-
-
-def keys_of(text: str) -> np.ndarray:
-    """The keys of a text's words in order."""
-    if len(_CACHE) > 300_000:
-        _CACHE.clear()
-    found = _TOKEN.findall(text)
-    out = []
-    for t in found:
-        k = _CACHE.get(t)
-        if k is None:
-            k = _CACHE[t] = key_of(t)
-        out.append(k)
-    return np.array(out, np.int64)
-
-
-def index_vectors(keys: int = KEYS, dimensions: int = DIMENSIONS, seed: int = 11) -> np.ndarray:
-    """Sparse random vectors of -1, 0 and 1."""
+#: Tables of counts for each executor core that Spark adds up: more make smaller tasks, fewer a smaller shuffle.
+TABLES_PER_CORE = 4
+#: Words whose vectors are summed at once.
+RUN_WORDS = 1 << 16
+#: What stands between letter runs.
+_BETWEEN = r"(\pN+|[^\s\pL\pN]+)"
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the texts' words in order, and the count of each text."""
+    spaced = pc.replace_substring_regex(pa.array(texts, pa.string()), _BETWEEN, r" \1 ")
+    words = pc.utf8_split_whitespace(spaced)
+    coded = pc.list_flatten(words).dictionary_encode()
+    # White space at the ends of a text makes empty words.
+    rows = np.array([zlib.crc32(w.encode()) % ROWS if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+    rows = rows[coded.indices.to_numpy()]
+    held = np.concatenate([[0], np.cumsum(rows >= 0)])[words.offsets.to_numpy()]
+    return rows[rows >= 0], np.diff(held)
+
+
+def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's sparse random vector: the places that are not 0 and the signs there."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((keys, dimensions), np.int64)
-    for row in out:
-        at = rng.choice(dimensions, NONZERO, replace=False)
-        row[at] = rng.choice([-1, 1], NONZERO)
-    return out
+    return rng.integers(0, DIMENSIONS, (ROWS, NONZERO)), rng.choice(np.array([-1, 1], np.int64), (ROWS, NONZERO))
 
 
 @dataclass
 class WordVectors:
-    """A unit vector and a weight for each key."""
+    """A unit vector and a weight for each row."""
 
     vectors: np.ndarray
     weights: np.ndarray
 
-    def pool(self, text: str) -> np.ndarray:
-        """Weighted mean of the words' vectors; zeros for a text without words."""
-        if not text:
-            return np.zeros(self.vectors.shape[1])
-        counts = np.bincount(keys_of(text), minlength=len(self.weights))
-        w = counts * self.weights
-        total = w.sum()
-        return w @ self.vectors / total if total else np.zeros(self.vectors.shape[1])
+    def pool(self, texts: list[str]) -> np.ndarray:
+        """Weighted mean of each text's word vectors; zeros for a text without words."""
+        rows, counts = words_of(texts)
+        out, total = np.zeros((len(texts), self.vectors.shape[1])), np.zeros(len(texts))
+        of = np.repeat(np.arange(len(texts)), counts)
+        for first in range(0, len(rows), RUN_WORDS):
+            r, text = rows[first : first + RUN_WORDS], of[first : first + RUN_WORDS]
+            begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            w = self.weights[r].astype(np.float64)
+            out[text[begins]] += np.add.reduceat(self.vectors[r].astype(np.float64) * w[:, None], begins)
+            total[text[begins]] += np.add.reduceat(w, begins)
+        return out / np.maximum(total, 1e-12)[:, None]
 
 
 def word_vectors(docs: DataFrame) -> WordVectors:
     """Context vectors over all documents.
 
-    Each task counts which keys stand near which in a fixed table and returns
-    one row for each key; Spark adds the rows up.  The driver gets ``KEYS``
-    rows, whatever the size of the corpus.
+    Each task sums the index vectors that stand near each row in a fixed table
+    and returns one record for each row met; Spark adds them up.  There are
+    ``TABLES_PER_CORE`` tasks a core at most, so the tables' shuffle does not
+    grow with the corpus.  The driver gets at most ``ROWS`` records.
     """
-    names = ["key", "n", *[f"d{i}" for i in range(DIMENSIONS)]]
+    names = ["row", "n", *[f"d{i}" for i in range(DIMENSIONS)]]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, n = np.zeros(KEYS * KEYS, np.int64), np.zeros(KEYS, np.int64)
+        places, signs = index_vectors()
+        context, n = np.zeros(ROWS * DIMENSIONS, np.int64), np.zeros(ROWS, np.int64)
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                parts: list[np.ndarray] = []
-                for t in texts:
-                    parts += [keys_of(t), np.full(REACH, -1)]
-                k = np.concatenate(parts)
-                n += np.bincount(k[k >= 0], minlength=KEYS)
+                rows, counts = words_of(texts)
+                of = np.repeat(np.arange(len(texts)), counts)
+                n += np.bincount(rows, minlength=ROWS)
                 for step in range(1, REACH + 1):
-                    a, b = k[:-step], k[step:]
-                    both = (a >= 0) & (b >= 0)
-                    near += np.bincount(a[both] * KEYS + b[both], minlength=KEYS * KEYS)
-        near = near.reshape(KEYS, KEYS)
-        index = index_vectors().astype(np.float64)
-        context = np.rint(near @ index + near.T @ index).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(KEYS), n, *context.T)], names=names)
-
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, ", ".join(f"{c} long" for c in names))
-    vectors, n = np.zeros((KEYS, DIMENSIONS)), np.zeros(KEYS)
-    for r in parts.groupBy("key").agg(*[F.sum(c) for c in names[1:]]).collect():
-        n[r[0]], vectors[r[0]] = r[1], r[2:]
-    own = index_vectors() * np.sqrt(np.maximum(n, 1))[:, None]
-    vectors = vectors + own  # a key without neighbours keeps its own direction
+                    near = of[step:] == of[:-step]
+                    a, b = rows[:-step][near], rows[step:][near]
+                    for x, y in ((a, b), (b, a)):
+                        for k in range(NONZERO):
+                            np.add.at(context, x * DIMENSIONS + places[y, k], signs[y, k])
+        met = np.flatnonzero(n)
+        for first in range(0, len(met), 8192):
+            some = met[first : first + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, n[some], *np.ascontiguousarray(context.reshape(ROWS, DIMENSIONS)[some].T))], names=names)
+
+    tasks = TABLES_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    parts = docs.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(count, ", ".join(f"{c} long" for c in names))
+    found = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow()
+    at = found.column(0).to_numpy()
+    vectors, n = np.zeros((ROWS, DIMENSIONS)), np.zeros(ROWS)
+    n[at] = found.column(1).to_numpy()
+    for i in range(DIMENSIONS):
+        vectors[at, i] = found.column(i + 2).to_numpy()
+    # A word without neighbours keeps its own direction.
+    places, signs = index_vectors()
+    own = np.sqrt(np.maximum(n, 1))
+    for k in range(NONZERO):
+        np.add.at(vectors, (np.arange(ROWS), places[:, k]), signs[:, k] * own)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
     share = n / max(n.sum(), 1)
-    return WordVectors(vectors, 1e-2 / (1e-2 + share))
+    return WordVectors(vectors.astype(np.float32), (1e-2 / (1e-2 + share)).astype(np.float32))
 
 
 @dataclass
@@ -184,7 +184,7 @@ class QualityModel:
 
     def score(self, texts: list[str]) -> np.ndarray:
         # Rounded, so that a text's score does not depend on the texts scored with it.
-        return np.round(self.network.probability(np.stack([self.words.pool(t) for t in texts])), 12) if texts else np.zeros(0)
+        return np.round(self.network.probability(self.words.pool(texts)), 12) if texts else np.zeros(0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch, "text"):
-                v = [sent.value.pool(t).tolist() for t in texts]
+                v = sent.value.pool(texts).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(v, pa.list_(pa.float64()))], names=["doc_id", "quality", "v"])
 
     # At most `sample` rows of two numbers: a proven bound for the broadcast.

@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules are fixed.  Further rules reject a document if one of its ratios is
-over a cutoff, which is chosen for each stratum (language) from labelled
-documents: the lowest cutoff for which an exact binomial test shows, at a
-level corrected for all tests made (Bonferroni), that at most ``risk`` of the
-good documents are rejected.  A stratum with too few labelled documents for
-any such proof has no cutoffs.  All of it is DataFrame expressions.
+over a cutoff.  The cutoffs of a stratum (language) come from its labelled
+good documents: of a fixed sequence of levels, from loose to strict, the
+strictest up to which exact binomial tests show that all rules together
+reject at most ``RISK`` of the stratum's good documents.  As each level
+rejects what looser ones do, the sequence needs no correction of its own; the
+strata share the chance of an error (Bonferroni).  A stratum with too few
+labelled documents for any such proof has no cutoffs.  All of it is DataFrame
+expressions.
 """
 
 from __future__ import annotations
@@ -13,25 +16,24 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.llm._arrow import let, written
+
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rejected share of good documents that each rule may have, and the chance that any cutoff breaks its bound.
-RISK = 0.01
+#: Share of a stratum's good documents that the rules may reject, and the chance that any stratum breaks its bound.
+RISK = 0.03
 CONFIDENCE_GAP = 0.05
-RULES = ["symbols", "exclamations", "capitals", "repeated_words", "repeated_lines"]
+#: The rules' cutoffs at level 1.
+RULES = {"symbols": 0.5, "exclamations": 0.5, "capitals": 1.0, "repeated_words": 1.0, "repeated_lines": 1.0}
+#: The levels, from the strictest on.
 GRID = [round(0.02 * 1.25**i, 4) for i in range(24)]
 #: Strata up to which their cutoffs are broadcast; more are joined by a shuffle of ids and numbers.
 BROADCAST_STRATA = 10_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _without(text: Column, characters: str) -> Column:
     """How many of the characters a text has."""
     return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
@@ -79,10 +81,14 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def ratios(of: Callable[[str], Column]) -> Column:
-    """The rules' ratios in the order of RULES."""
+def level(of: Callable[[str], Column]) -> Column:
+    """The largest of a document's ratios, each in units of its rule's cutoff: a level below it rejects the document."""
     per = lambda a, b: of(a) / F.greatest(of(b), F.lit(1))
-    return F.array(per("n_symbols", "n_words"), per("n_exclamations", "n_words"), per("n_capitals", "word_chars"), per("n_repeat_words", "n_words"), per("n_dup_lines", "n_lines"))
+    ratios = {
+        "symbols": per("n_symbols", "n_words"), "exclamations": per("n_exclamations", "n_words"), "capitals": per("n_capitals", "word_chars"),
+        "repeated_words": per("n_repeat_words", "n_words"), "repeated_lines": per("n_dup_lines", "n_lines"),
+    }
+    return F.greatest(*[ratios[name] / cutoff for name, cutoff in RULES.items()])
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
@@ -104,23 +110,23 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(measures_: DataFrame, labels: DataFrame, risk: float = RISK, gap: float = CONFIDENCE_GAP) -> DataFrame:
-    """stratum and an array with each rule's cutoff (null: none), from labelled documents.
+    """stratum and the level of its cutoffs, from labelled documents; no row for a stratum without.
 
     A doc_id with several labels counts as good only if all say so.  Only good
     documents that pass the base rules count: the bound is on their rejection.
     """
     good = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    rows = measures_.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "stratum", ratios(F.col).alias("r")).join(good, "doc_id")
-    # How many cutoffs of the grid each ratio is over: a histogram has all that the tests need.
-    over = F.transform("r", lambda x: F.aggregate(F.array(*[F.lit(g) for g in GRID]), F.lit(0), lambda a, g: a + (x > g).cast("int")))
-    counts = rows.select("stratum", F.posexplode(over).alias("rule", "over")).groupBy("stratum", "rule", "over").agg(F.count("*").alias("c"))
-    hist = counts.groupBy("stratum", "rule").agg(F.sum("c").alias("n"), F.collect_list(F.struct("over", "c")).alias("h"))
-    tests = hist.select("stratum", "rule", "n", "h", F.posexplode(F.array(*[F.lit(g) for g in GRID])).alias("g", "cutoff"))
+    rows = measures_.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "stratum", level(F.col).alias("level")).join(good, "doc_id")
+    # How many levels of the grid a document is over: a histogram has all that the tests need.
+    over = F.aggregate(F.array(*[F.lit(g) for g in GRID]), F.lit(0), lambda a, g: a + (F.col("level") > g).cast("int"))
+    counts = written(rows.groupBy("stratum", over.alias("over")).agg(F.count("*").alias("c")))
+    strata = max(1, counts.select("stratum").distinct().count())
+    hist = counts.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("over", "c")).alias("h"))
+    tests = hist.select("stratum", "n", "h", F.posexplode(F.array(*[F.lit(g) for g in GRID])).alias("g", "cutoff"))
     rejected = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.when(x["over"] > F.col("g"), x["c"]).otherwise(F.lit(0).cast("long")))
-    tried = tests.select("stratum", "rule", "cutoff", "n", rejected.alias("k"), F.count("*").over(Window.partitionBy()).alias("tests"))
-    proven = tried.where(binomial_tail(F.col("n"), F.col("k"), risk) <= F.lit(gap) / F.col("tests"))
-    best = proven.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == i, F.col("cutoff"))).alias(f"_ocellus_cut_{name}") for i, name in enumerate(RULES)])
+    # A stricter level rejects no fewer, so the strictest proven one ends the sequence of proven ones.
+    proven = tests.select("stratum", "cutoff", "n", rejected.alias("k")).where(binomial_tail(F.col("n"), F.col("k"), risk) <= gap / strata)
+    return proven.groupBy("stratum").agg(F.min("cutoff").alias("_ocellus_cut"))
 
 
 def with_cutoffs(df: DataFrame, cuts: DataFrame, stratum: Column) -> DataFrame:
@@ -132,10 +138,7 @@ def with_cutoffs(df: DataFrame, cuts: DataFrame, stratum: Column) -> DataFrame:
 
 def kept(of: Callable[[str], Column]) -> Column:
     """Whether a document passes the base rules and its stratum's cutoffs."""
-    over = F.lit(False)
-    each = ratios(of)
-    for i, name in enumerate(RULES):
-        over = over | F.coalesce(F.get(each, F.lit(i)) > F.col(f"_ocellus_cut_{name}"), F.lit(False))
+    over = F.coalesce(level(of) > F.col("_ocellus_cut"), F.lit(False))
     return ~base_failed(of("n_words"), of("n_repeat_words")) & ~over
 
 
@@ -143,13 +146,23 @@ def judge(measures_: DataFrame, cuts: DataFrame) -> DataFrame:
     """Per document: words, the base counts, base_failed and kept.
 
     A null or empty text has no words and fails the base rules.  Each row
-    gives one row; null doc_ids stay; a null language is a stratum of its own.
+    gives one row; null doc_ids stay; a null language is a stratum of its own,
+    together with the empty one.
     """
     rows = with_cutoffs(measures_, cuts, F.col("stratum"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"), kept(F.col).alias("kept"))
 
 
-def keep(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """The documents that :func:`judge` keeps, with all their columns."""
-    rows = with_cutoffs(docs.withColumn("_ocellus_m", measures(F.col("text").cast("string"))), cuts, F.coalesce(F.col("lang").cast("string"), F.lit("")))
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that :func:`judge` keeps, with all their columns.
+
+    Documents are measured once and written with their measures, from which
+    both the cutoffs and the verdicts come.  Null and empty texts go, as they
+    fail the base rules; repeated rows are judged alike; an empty table stays
+    empty; without labels the base rules alone decide.
+    """
+    stratum = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    seen = written(docs.select("*", stratum.alias("_ocellus_lang"), measures(F.col("text").cast("string")).alias("_ocellus_m")))
+    cuts = cutoffs(seen.select(F.col("doc_id").cast("long"), F.col("_ocellus_lang").alias("stratum"), "_ocellus_m.*"), labels)
+    rows = with_cutoffs(seen, cuts, F.col("_ocellus_lang"))
     return rows.where(kept(lambda c: F.col(f"_ocellus_m.{c}"))).select(*docs.columns)

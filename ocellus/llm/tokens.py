@@ -1,26 +1,30 @@
 """Token ids of whole texts by a tokenizer file of the ``tokenizers`` library.
 
 The library normalises and splits each text anew and so spends most of its
-time on words it has met before.  :class:`TextEncoder` splits texts the same
-way itself, at white space and then into pieces, has the library's model encode
-each distinct piece once, and expands the remembered ids of words with numpy.  Texts with characters for which the
-two ways of splitting might differ go through the library as a whole.
+time on words it has met before.  :class:`TextEncoder` lets Arrow lower-case
+and split a run of texts into pieces the same way, has the library's model
+encode each distinct piece once, and expands the remembered ids with numpy.
+Texts with characters for which the two ways of splitting might differ go
+through the library as a whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: The split pattern of the word-level vocabulary, for texts in SAFE.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The split pattern of the word-level vocabulary without its letter runs, which stand between these.
+SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\s\pL\pN]+)"
 #: Any other character sends its text through the library.
-UNSAFE = re.compile(r"[^\t\n\r -~¡-§«¬®-±´¶·»¿À-įĲ-ňŊ-ſ‘’“”–—…•€]|<\|")
-#: Distinct words, and three quarters as many pieces, remembered by a worker before it starts anew.
-MAX_WORDS = 400_000
+UNSAFE = "[^\t\n\r -~¡-§«¬®-±´¶·»¿À-įĲ-ňŊ-ſ‘’“”–—…•€]|<\\|"
+#: Distinct pieces remembered by a worker before it starts anew; a piece takes about 50 bytes.
+MAX_PIECES = 600_000
+#: Characters of text to encode at once: the more, the fewer pieces are looked up again.
+RUN_CHARS = 8_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -33,66 +37,77 @@ def byte_alphabet() -> dict[int, str]:
 class TextEncoder:
     """Encodes texts as one array of ids and the number of ids of each text."""
 
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Ids are below this.
+        self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self.model = self.tokenizer.model
-        self.max_words = max_words
+        self.max_pieces = max_pieces
         self.alphabet = byte_alphabet()
-        self.pieces: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Forgets words, and pieces if there are too many; words are learnt again from pieces."""
-        if len(self.pieces) > self.max_words * 3 // 4:
-            self.pieces.clear()
-        self.index: dict[str, int] = {}
-        self.flat, self.begins, self.counts = array("I"), array("q"), array("q")
-
-    def piece(self, piece: str) -> list[int]:
-        """Has the model encode a piece of a word and remembers it."""
-        seen = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-        self.pieces[piece] = ids = [t.id for t in self.model.tokenize(seen)]
-        return ids
-
-    def learn(self, word: str) -> int:
-        """Encodes a new word, a run of characters without white space, and remembers it."""
-        known, ids = self.pieces, []
-        for p in WORDS.findall(word):
-            ids += known.get(p) or self.piece(p)
-        at = self.index[word] = len(self.index)
-        self.begins.append(len(self.flat))
-        self.counts.append(len(ids))
-        self.flat.extend(ids)
-        return at
-
-    def _expanded(self, words: np.ndarray) -> np.ndarray:
-        """The ids of words by number.  The views end here, as the arrays can't grow while there are any."""
-        flat, begins, counts = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.begins, np.int64), np.frombuffer(self.counts, np.int64)
-        n = counts[words]
-        ends = np.cumsum(n)
-        return flat[np.repeat(begins[words] - ends + n, n) + np.arange(int(ends[-1]))]
-
-    def _words(self, text: str) -> np.ndarray:
-        get, learn = self.index.get, self.learn
-        return np.array([i if (i := get(w)) is not None else learn(w) for w in text.lower().split()], np.int64)
+        """Forgets all pieces but the empty one."""
+        self.known = pa.array([""], pa.string())
+        self.flat, self.begins, self.counts = array("I"), array("q", [0]), array("q", [0])
+
+    def learn(self, pieces: list[str]) -> None:
+        """Has the model encode new pieces and remembers them."""
+        tokenize, flat, spell = self.model.tokenize, self.flat, self.alphabet.__getitem__
+        for piece in pieces:
+            self.begins.append(len(flat))
+            flat.extend([t.id for t in tokenize(piece if piece.isascii() else "".join(map(spell, piece.encode())))])
+            self.counts.append(len(flat) - self.begins[-1])
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces among those known, new ones being learnt."""
+        if len(self.known) > self.max_pieces:
+            self.forget()
+        found = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(found))
+        numbers = found.fill_null(-1).to_numpy().astype(np.int64)
+        numbers[numbers < 0] = np.arange(len(self.known), len(self.known) + len(new))
+        self.learn(new.to_pylist())
+        self.known = pa.concat_arrays([self.known, new])
+        return numbers
+
+    def _encode_safe(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        spaced = pc.replace_substring_regex(pc.utf8_lower(texts), SPLIT, r" \1 ")
+        pieces = pc.ascii_split_whitespace(spaced)
+        coded = pc.list_flatten(pieces).dictionary_encode()
+        numbers = self._numbers(coded.dictionary)
+        # Views of the remembered ids end here, as the arrays can't grow while there are any.
+        flat, begins, counts = np.array(self.flat, np.uint32), np.array(self.begins)[numbers], np.array(self.counts)[numbers]
+        at = coded.indices.to_numpy()
+        n = counts[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begins[at] - ends[:-1], n) + np.arange(int(ends[-1]))]
+        return ids, np.diff(ends[pieces.offsets.to_numpy()])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32) and the count of each text (int64)."""
-        if len(self.index) > self.max_words:
-            self.forget()
-        parts, lengths = [], []
-        for text in texts:
-            if UNSAFE.search(text):
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                words = self._words(text)
-                ids = self._expanded(words) if len(words) else np.zeros(0, np.uint32)
-            parts.append(ids)
-            lengths.append(len(ids))
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array(lengths, np.int64)
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        column = pa.array(texts, pa.string())
+        unsafe = pc.match_substring_regex(column, UNSAFE)
+        rows = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist()
+        if not rows:
+            return self._encode_safe(column)
+        # Runs of texts between those that the library encodes.
+        parts, counts, first = [], [], 0
+        for row in [*rows, len(texts)]:
+            if row > first:
+                ids, n = self._encode_safe(column.slice(first, row - first))
+                parts.append(ids)
+                counts.append(n)
+            if row < len(texts):
+                parts.append(np.array(self.tokenizer.encode(texts[row], add_special_tokens=False).ids, np.uint32))
+                counts.append(np.array([len(parts[-1])], np.int64))
+            first = row + 1
+        return np.concatenate(parts), np.concatenate(counts)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
