@@ -11,18 +11,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._arrow import slices
-from ocellus.llm.tokens import encoder
+from ocellus.llm._arrow import slices, written
+from ocellus.llm.tokens import RUN_CHARS, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
-#: Documents of a group on average; a group is packed by one task.
-GROUP_DOCS = 16_384
+#: Pieces of a group on average; a group is packed by one task.
+GROUP_PIECES = 16_384
 
 
 class TournamentTree:
@@ -79,34 +78,42 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer)
         for batch in batches:
-            for first, texts in slices(batch, "text"):
+            for first, texts in slices(batch, "text", RUN_CHARS):
                 ids, counts = tok.encode(texts)
-                out: list[tuple] = []
-                at = 0
-                for doc, n in zip(batch.column(0)[first : first + len(texts)].to_pylist(), counts.tolist(), strict=True):
-                    own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                    at += n
-                    out += [(doc, s, len(x := own[s : s + capacity]), zlib.crc32(x.tobytes()), n + 1) for s in range(0, n + 1, capacity)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+                ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
+                counts = counts + 1
+                begins = np.cumsum(counts) - counts
+                n = -(-counts // capacity)
+                row = np.repeat(np.arange(len(texts)), n)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+                length = np.minimum(capacity, counts[row] - start)
+                at = begins[row] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                doc = batch.column(0).slice(first, len(texts)).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(counts[row])], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Each piece with its sequence and its offset there.
 
-    Pieces are dealt to groups by a hash of (doc_id, start), so a group is a
-    random sample of the corpus whatever the order of the files, and its size
-    does not depend on any key's frequency.  Each group is packed by first-fit
-    decreasing; sequences of different groups never mix.  Repeated rows are
-    packed once each; an empty table has no sequences.
+    Pieces are written once, counted, and dealt to groups by a hash of
+    (doc_id, start, crc32), so a group is a random sample of the corpus
+    whatever the order of the files, and its size does not depend on any
+    document's length or any id's frequency.  Each group is packed by
+    first-fit decreasing; sequences of different groups never mix.  Repeated
+    rows are packed once each; an empty table has no sequences.
     """
-    groups = max(1, math.ceil(docs.count() / group_docs))
-
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(rows["length"].to_numpy(np.int64), capacity)
-        return rows.drop(columns="group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
-
-    dealt = pieces(docs, tokenizer, end_id, capacity).withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(packed, PACKED)
+    found = written(pieces(docs, tokenizer, end_id, capacity))
+    groups = max(1, math.ceil(found.count() / group_pieces))
+
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
+        bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
+        columns = [*(rows[c.split()[0]] for c in PIECES.split(", ")), pa.array((key[0].as_py() << 32) + bins), pa.array(offsets)]
+        return pa.table(columns, names=[c.split()[0] for c in PACKED.split(", ")])
+
+    # A repeated row has the same hash: its copies go round the groups by a number of their own.
+    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
+    return found.withColumn("_ocellus_group", spread).groupBy("_ocellus_group").applyInArrow(packed, PACKED)

@@ -1,9 +1,10 @@
 """Token ids in grammar-compressed files with random access.
 
 Documents are written in ascending ``doc_id`` order as shards of about a
-million ids.  Each shard is compressed by Re-Pair: in every round the most
-frequent pairs of neighbouring symbols become nonterminals, until no pair is
-frequent or the symbol space is used up.  A shard stores its rules with the
+million ids.  Each shard is compressed by Re-Pair in rounds: in each the most
+frequent pairs of neighbouring symbols become nonterminals together, as one
+pair at a time needs thousands of passes.  ``ROUNDS`` rounds share the symbol
+space; more follow until it is used up or no pair is frequent.  A shard stores its rules with the
 length that each nonterminal expands to, so a stretch of ids can be decoded
 without expanding what stands before it.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm._arrow import shared_folder, slices
-from ocellus.llm.tokens import encoder
+from ocellus.llm.tokens import RUN_CHARS, encoder
 
 MAGIC = b"OCRP"
 HEAD = struct.Struct("<4s5IQ")
@@ -58,10 +59,9 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, least: int
     key_type, bits = (np.uint32, 16) if small else (np.uint64, 32)
     symbols = ids.astype(key_type)
     rules: list[np.ndarray] = []
-    next_id, each = vocabulary, (space - vocabulary) // rounds
-    for _ in range(rounds):
-        if len(symbols) < 2 or not each:
-            break
+    next_id = vocabulary
+    while len(symbols) > 1 and next_id < space:
+        each = max(1, (space - next_id) // max(1, rounds - len(rules)))
         keys = (symbols[:-1] << key_type(bits)) | symbols[1:]
         chosen = frequent_pairs(keys, each, least)
         # A slot of the table holds one pair; pairs that collide wait for the next round.
@@ -132,7 +132,9 @@ def expand(symbols: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, vocabula
 
 
 def to_bytes(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> bytes:
-    """A shard's file."""
+    """A shard's file; all ids must be below ``vocabulary``."""
+    if len(ids) and int(ids.max()) >= vocabulary:
+        raise ValueError(f"id {int(ids.max())} is not below {vocabulary}")
     symbols, pairs, lengths = compress(ids, vocabulary)
     head = HEAD.pack(MAGIC, 1, vocabulary, len(pairs), len(symbols), len(counts), len(ids))
     return b"".join([head, pairs.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.tobytes(), counts.astype("<u4").tobytes()])
@@ -171,18 +173,20 @@ class Shard:
         return self.stretch(int(self.counts[:row].sum()), int(self.counts[row]))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocabulary: int = 49_408, shard_ids: int = SHARD_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_ids: int = SHARD_IDS) -> None:
     """Writes the ids of all documents, in ascending ``doc_id`` order, as shards below ``path``.
 
     Texts are dealt by ranges of ``doc_id`` and sorted, then encoded and
     compressed where they lie; each task's shards are rows of a Parquet file
     written by Spark, so a lost task is simply run again.  A null text has its
     end id only; null doc_ids come first; rows with equal doc_ids follow each
-    other in the order of their texts.
+    other in the order of their texts.  An empty table has no shards.  The
+    files' symbol space begins behind the tokenizer's ids and the end id.
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = encoder(tokenizer), TaskContext.get().partitionId()
+        vocabulary = max(tok.vocabulary, end_id + 1)
         seq = before = size = 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
@@ -195,17 +199,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vo
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
-            for first, texts in slices(batch, "text"):
+            for first, texts in slices(batch, "text", RUN_CHARS):
                 found, n = tok.encode(texts)
-                ends = np.cumsum(n)
-                ids.append(np.insert(found, ends, np.uint32(end_id)))
-                counts += (n + 1).tolist()
-                names += batch.column(0)[first : first + len(texts)].to_pylist()
-                size += len(ids[-1])
-                if size >= shard_ids:
-                    yield flush()
-                    seq, before, size = seq + 1, before + size, 0
-                    ids, names, counts = [], [], []
+                found = np.insert(found, np.cumsum(n), np.uint32(end_id))
+                ends = np.cumsum(n + 1)
+                own = batch.column(0)[first : first + len(texts)].to_pylist()
+                row = at = 0
+                while row < len(texts):
+                    # The documents up to the one that fills the shard.
+                    last = min(len(texts), int(np.searchsorted(ends, at + shard_ids - size)) + 1)
+                    ids.append(found[at : ends[last - 1]])
+                    counts += (n[row:last] + 1).tolist()
+                    names += own[row:last]
+                    size += len(ids[-1])
+                    row, at = last, int(ends[last - 1])
+                    if size >= shard_ids:
+                        yield flush()
+                        seq, before, size = seq + 1, before + size, 0
+                        ids, names, counts = [], [], []
         if names:
             yield flush()
 

@@ -30,7 +30,7 @@ def test_first_fit_decreasing(lengths):
 def test_every_id_once(spark):
     rows = [(i, f"word{i} " * (i * 7 % 90)) for i in range(300)] + [(900, "long text here " * 4000), (901, None), (902, ""), (None, "null id"), (5, "again"), (5, "again")]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, length int")
-    got = P.pack(docs, PATH, capacity=512, group_docs=100).collect()
+    got = P.pack(docs, PATH, capacity=512, group_pieces=100).collect()
     tok = Tokenizer.from_file(PATH)
     ids = {}
     for d, t in rows:
@@ -52,5 +52,12 @@ def test_every_id_once(spark):
     assert sum(r.length for r in got) > 0.9 * 512 * len(by)
 
 
+def test_large_ids_beside_null_ids(spark):
+    rows = [(2**53 + 1, "a b"), (None, "c"), (-(2**62), "d"), (2**53 + 1, "a b")]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), PATH).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [-(2**62), 2**53 + 1, 2**53 + 1] and len(got) == 4
+    assert sorted((r.sequence_id, r.offset) for r in got)[0] == (0, 0)
+
+
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0

@@ -17,7 +17,7 @@ ODD = ["", " ", "don't I'LL '''s x's 123 a1b2 _x_ É À ſ ß", "Σας ΣΑΣ 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return TextEncoder(PATH, max_words=50)
+    return TextEncoder(PATH, max_pieces=50)
 
 
 @settings(max_examples=60, deadline=None)
@@ -74,5 +74,16 @@ def test_files(spark, encoder, tmp_path):
     assert one.counts.sum() == one.n_ids and np.array_equal(one.document(len(one.counts) - 1), one.ids()[-int(one.counts[-1]) :])
 
 
+def test_ids_must_be_in_the_vocabulary():
+    with pytest.raises(ValueError):
+        S.to_bytes(np.array([3, 10], np.uint32), np.array([2]), 10)
+
+
+def test_repeated_passages_fold_to_few_symbols():
+    passage = np.random.default_rng(1).permutation(4000).astype(np.uint32)
+    symbols, pairs, _ = S.compress(np.tile(passage, 50), 49_408)
+    assert len(symbols) <= 50 * 20 and np.array_equal(S.unfold(symbols, pairs, 49_408), np.tile(passage, 50))
+
+
 def test_empty_table(spark):
     assert S.store_and_read(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
