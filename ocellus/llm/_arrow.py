@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch, where the session sets none: JVM and worker hold some batches each for every core.
+BATCH_BYTES = "8MB"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Characters of text that are handled at once inside a Python worker.
 SLICE_CHARS = 2_000_000
 
@@ -18,6 +21,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, and Arrow's free memory given back after each task."""
+    if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
+
+
 def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of a batch with their first row; null texts are empty.
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ocellus.llm._arrow import map_batches
+
 BLOCK_CHARS = 8_000_000
 SHARD_WORDS = 1 << 20
 WINDOW = 10
@@ -252,7 +254,7 @@ def _scanned(docs: DataFrame, test: TestSuffixes, shard_words: int) -> DataFrame
             table = pa.table([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(columns, kinds, strict=True)], names=["row", "doc_id", "n_words", "spans", "items", "longest"])
             yield from table.combine_chunks().to_batches()
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, SCANNED)
+    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, SCANNED)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -298,7 +300,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_c
                 item = pa.array([shard.test.names[i] for i in shard.test.item[shard.match_suffix].tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([doc, item, pa.array(shard.item_at(shard.match_suffix)), pa.array(shard.match_at - shard.begin[shard.match_doc]), pa.array(shard.match_length)], names=["doc_id", "item_id", "item_at", "doc_at", "length"])
 
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, MATCHES)
+        found = map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, MATCHES)
         out = found if out is None else out.unionByName(found)
     assert out is not None
     return out
@@ -320,5 +322,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                     yield batch.filter(pa.array(clean[first : first + batch.num_rows]))
                     first += batch.num_rows
 
-        docs = docs.mapInArrow(keep, schema)
+        docs = map_batches(docs, keep, schema)
     return docs

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.llm._arrow import map_batches
+
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 #: Elements without an end tag, elements that break a line, elements that never are content.
@@ -299,4 +301,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(v.as_py()) for v in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, EXTRACTED)
+    return map_batches(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), run, EXTRACTED)

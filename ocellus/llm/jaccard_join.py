@@ -42,13 +42,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ocellus.llm._arrow import drop_written, slices, written
+from ocellus.llm._arrow import drop_written, map_batches, slices, written
 
 WIDTH = 5
 #: A size band reaches from one power of this to the next.
 BAND = 16
-#: Documents with a block, as far as each batch sees it twice, from which it comes last in the order.
+#: Documents with a block, as far as a task counts it, from which it comes last in the order.
 HOT = 40
+#: Blocks that a task gathers before it counts them, and sets that it remembers so as to name equal ones once.
+HELD, SEEN = 4_000_000, 100_000
 #: Hot blocks sent to the workers; with more, the bound above is doubled until they fit.  The result is the same.
 MAX_HOT = 1_000_000
 #: Largest group of a key that is compared as a whole.
@@ -192,7 +194,7 @@ def _text_hash() -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, set size and set name of each document; and blocks that a batch holds twice or more, with counts."""
+    """doc_id, text hash, set size and set name of each document; and blocks that a task meets twice or more in ``HELD`` blocks, with counts."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(doc_id=None, text_hash=None, n=None, sig=None, bits=None, hot_key=None, hot_n=None) -> pa.RecordBatch:
@@ -201,15 +203,15 @@ def described(docs: DataFrame) -> DataFrame:
             kind = lambda c: pa.list_(pa.int64()) if c == "bits" else pa.int64()
             return pa.RecordBatch.from_arrays([pa.nulls(size, kind(c)) if v is None else pa.array(v, kind(c)) for c, v in columns.items()], names=list(columns))
 
-        for batch in batches:
-            seen: set[int] = set()
-            keys: list[np.ndarray] = []
-            held = 0
+        seen: set[int] = set()
+        keys: list[np.ndarray] = []
+        held = 0
 
-            def often(keys: list[np.ndarray]) -> pa.RecordBatch:
-                key, count = np.unique(np.concatenate(keys), return_counts=True)
-                return rows(hot_key=key[count > 1], hot_n=count[count > 1])
+        def often() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate(keys), return_counts=True)
+            return rows(hot_key=key[count > 1], hot_n=count[count > 1])
 
+        for batch in batches:
             for first, texts in slices(batch, "text"):
                 n, sig, bits = [], [], []
                 for text in texts:
@@ -222,13 +224,13 @@ def described(docs: DataFrame) -> DataFrame:
                         keys += [sketch_keys(own, band)[0] for band in bands(len(own))]
                         held += len(own)
                 yield rows(batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), n, sig, bits)
-                if held > 6_000_000:
-                    yield often(keys)
-                    keys, held = [], 0
-            if keys:
-                yield often(keys)
+                if held > HELD:
+                    yield often()
+                    seen, keys, held = set(), [], 0
+        if keys:
+            yield often()
 
-    return _texts(docs).mapInArrow(describe, SETS)
+    return map_batches(_texts(docs), describe, SETS)
 
 
 def hot_keys(described_: DataFrame, least: int = HOT, most: int = MAX_HOT) -> HotKeys:
@@ -243,12 +245,14 @@ def hot_keys(described_: DataFrame, least: int = HOT, most: int = MAX_HOT) -> Ho
 
 
 def keyed(docs: DataFrame, hot: HotKeys) -> DataFrame:
-    """A row (key, set name, size and differences) for each join key; a batch names equal sets once."""
+    """A row (key, set name, size and differences) for each join key; a task names equal sets once as long as it remembers them."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > SEEN:
+                seen = set()
             for _, texts in slices(batch, "text"):
                 keys, sigs, ns = [], [], []
                 for text in texts:
@@ -263,7 +267,7 @@ def keyed(docs: DataFrame, hot: HotKeys) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, sigs, ns)], names=["key", "sig", "n"])
 
-    return _texts(docs).mapInArrow(emit, KEYS)
+    return map_batches(_texts(docs), emit, KEYS)
 
 
 def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -361,7 +365,7 @@ def grouped(keys: DataFrame) -> DataFrame:
         empty = np.zeros(0, np.int64)
         yield from out(*state.feed(empty, empty, empty, last=True))
 
-    return keys.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(run, FOUND)
+    return map_batches(keys.repartition("key").sortWithinPartitions("key", "n", "sig"), run, FOUND)
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -415,7 +419,7 @@ def _sets(docs: DataFrame, names: DataFrame) -> DataFrame:
                     offsets = pa.array(np.cumsum([0] + [len(o) for o in held]), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held)))], names=["sig", "hashes"])
 
-    found = _texts(docs).join(_small(names), "text_hash").select("sig", "text").mapInArrow(hashes, "sig long, hashes array<long>")
+    found = map_batches(_texts(docs).join(_small(names), "text_hash").select("sig", "text"), hashes, "sig long, hashes array<long>")
     # Copies of a text in several batches name a set several times.
     out = written(found.dropDuplicates(["sig"]))
     drop_written(names)
@@ -531,7 +535,7 @@ def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFr
                     columns = [same(x), elements, place, size - place, same(sig), same(n), same(root)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(k, minor))], names=[c.split()[0] for c in APART.split(", ")])
 
-    apart = written(both.mapInArrow(emit, APART))
+    apart = written(map_batches(both, emit, APART))
     minor = apart.where("minor").select("x", "element", *[F.col(c).alias(f"{c}_a") for c in ("place", "rest", "sig", "n", "root")])
     size = F.col("n") + F.col("n_a")
     fits = (F.col("root") != F.col("root_a")) & (4 * F.least("n", "n_a") >= 3 * F.greatest("n", "n_a")) & (7 * (F.col("place") + F.col("place_a") + F.abs(F.col("rest") - F.col("rest_a"))) <= size)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._arrow import slices, written
+from ocellus.llm._arrow import map_batches, slices, written
 from ocellus.llm.tokens import RUN_CHARS, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                 doc = batch.column(0).slice(first, len(texts)).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(counts[row])], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_pieces: int = GROUP_PIECES) -> DataFrame:

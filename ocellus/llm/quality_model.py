@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._arrow import slices
+from ocellus.llm._arrow import map_batches, slices
 
 ROWS = 1 << 17
 DIMENSIONS = 32
@@ -108,7 +108,7 @@ def word_vectors(docs: DataFrame) -> WordVectors:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, n[some], *np.ascontiguousarray(context.reshape(ROWS, DIMENSIONS)[some].T))], names=names)
 
     tasks = TABLES_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
-    parts = docs.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(count, ", ".join(f"{c} long" for c in names))
+    parts = map_batches(docs.select(F.col("text").cast("string")).coalesce(tasks), count, ", ".join(f"{c} long" for c in names))
     found = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow()
     at = found.column(0).to_numpy()
     vectors, n = np.zeros((ROWS, DIMENSIONS)), np.zeros(ROWS)
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
 
     # At most `sample` rows of two numbers: a proven bound for the broadcast.
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    got = sorted(rows.mapInArrow(pooled, "doc_id long, quality int, v array<double>").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    got = sorted(map_batches(rows, pooled, "doc_id long, quality int, v array<double>").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     x = np.array([r.v for r in got], np.float64).reshape(len(got), DIMENSIONS)
     return QualityModel(words, train(x, np.array([r.quality for r in got], np.float64)))
 
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
                 p = sent.value.score(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double, predicted int")
+    rows = map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scored, "doc_id long, score double, predicted int")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -243,4 +243,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
             p = np.concatenate([sent.value.score(texts) for _, texts in slices(batch, "text")] or [np.zeros(0)])
             yield batch.filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm._arrow import shared_folder, slices
+from ocellus.llm._arrow import map_batches, shared_folder, slices
 from ocellus.llm.tokens import RUN_CHARS, encoder
 
 MAGIC = b"OCRP"
@@ -222,7 +222,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(shards, SHARDS).write.parquet(path)
+    map_batches(rows, shards, SHARDS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -248,7 +248,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 base = offsets[one["part"]] + one["before"]
                 yield pa.RecordBatch.from_arrays([pa.array(one["doc_ids"], pa.int64()), pa.array(starts + base), pa.array(shard.counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return table.select("part", "before", "doc_ids", "payload").mapInArrow(decode, DECODED)
+    return map_batches(table.select("part", "before", "doc_ids", "payload"), decode, DECODED)
 
 
 def store_and_read(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

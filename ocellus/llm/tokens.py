@@ -22,9 +22,9 @@ SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\s\pL\pN]+)"
 #: Any other character sends its text through the library.
 UNSAFE = "[^\t\n\r -~¡-§«¬®-±´¶·»¿À-įĲ-ňŊ-ſ‘’“”–—…•€]|<\\|"
 #: Distinct pieces remembered by a worker before it starts anew; a piece takes about 50 bytes.
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 #: Characters of text to encode at once: the more, the fewer pieces are looked up again.
-RUN_CHARS = 8_000_000
+RUN_CHARS = 4_000_000
 
 
 def byte_alphabet() -> dict[int, str]:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ocellus.llm._arrow import map_batches
+
 SAMPLE = 20_000
 BUCKETS = 4096
 JUDGED = "page_id long, host string, path string, rule string, score double, verdict string"
@@ -219,4 +221,4 @@ def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] =
     url = F.col("url").cast("string")
     split = pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"), url.alias("url"))
     ruled = split.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r"), "url")
-    return ruled.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"), "url").mapInArrow(scored, JUDGED)
+    return map_batches(ruled.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"), "url"), scored, JUDGED)
