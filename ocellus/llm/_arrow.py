@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, where the session sets none: JVM and worker hold some batches each for every core.
-BATCH_BYTES = "8MB"
+BATCH_BYTES = "4MB"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Characters of text that are handled at once inside a Python worker.
 SLICE_CHARS = 2_000_000

@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from ocellus.llm._arrow import map_batches
 
 BLOCK_CHARS = 8_000_000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 WINDOW = 10
 
 #: A-Z become a-z; digits, letters and all bytes of other characters stay; the rest are spaces.

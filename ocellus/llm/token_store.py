@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm._arrow import map_batches, shared_folder, slices
-from ocellus.llm.tokens import RUN_CHARS, encoder
+from ocellus.llm.tokens import RUN_CHARS, encoder, vocabulary_of
 
 MAGIC = b"OCRP"
 HEAD = struct.Struct("<4s5IQ")
@@ -184,9 +184,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
     files' symbol space begins behind the tokenizer's ids and the end id.
     """
 
+    vocabulary = max(vocabulary_of(tokenizer), end_id + 1)
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = encoder(tokenizer), TaskContext.get().partitionId()
-        vocabulary = max(tok.vocabulary, end_id + 1)
         seq = before = size = 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []

@@ -22,9 +22,9 @@ SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\s\pL\pN]+)"
 #: Any other character sends its text through the library.
 UNSAFE = "[^\t\n\r -~¡-§«¬®-±´¶·»¿À-įĲ-ňŊ-ſ‘’“”–—…•€]|<\\|"
 #: Distinct pieces remembered by a worker before it starts anew; a piece takes about 50 bytes.
-MAX_PIECES = 400_000
+MAX_PIECES = 300_000
 #: Characters of text to encode at once: the more, the fewer pieces are looked up again.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 2_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -42,8 +42,6 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Ids are below this.
-        self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self.model = self.tokenizer.model
         self.max_pieces = max_pieces
         self.alphabet = byte_alphabet()
@@ -110,6 +108,13 @@ class TextEncoder:
         return np.concatenate(parts), np.concatenate(counts)
 
 
+def vocabulary_of(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
