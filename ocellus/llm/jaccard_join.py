@@ -53,8 +53,8 @@ HOT = 40
 HELD, SEEN = 4_000_000, 100_000
 #: Hot blocks sent to the workers; with more, the bound above is doubled until they fit.  The result is the same.
 MAX_HOT = 1_000_000
-#: Largest group of a key that is compared as a whole.
-GROUP = 24
+#: Largest group of a key that is compared as a whole, and most members of a larger one that are compared with all of it.
+GROUP, FEW = 24, 64
 #: Ids up to which a set of documents is looked up by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -66,7 +66,8 @@ PART = (1 << PLACE_AT) - 1
 #: Blocks of a sketch for each shingle of the largest set of its band, as a power of two; and of all, at most.
 SPREAD, MOST_BLOCKS = 12, 32
 FOUND = "key long, a long, b long"
-APART = "x long, element long, place long, rest long, sig long, n long, root long, minor boolean"
+#: A difference: a hash of it and the centre, its place and those behind it, the set and its size, component and kind.
+APART = "key long, place int, rest int, sig long, n int, root long, minor boolean"
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -497,26 +498,39 @@ def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFr
     Each group has the component of most of its rows; the set with most links
     in that component is the group's centre.  Rows of groups with the same
     centre are one row.  Pairs of these of which one is in another component
-    are joined where they share one of their differences to the centre.
+    are joined where they share one of their differences to the centre; in a
+    group with at most ``FEW`` rows in other components, where they fit.  Both
+    ways find all pairs that link.
     """
     rooted = comps.withColumnRenamed("node", "sig")
     size, place = F.col("b").bitwiseAND(PART), F.shiftright("b", PLACE_AT).bitwiseAND(PART)
     # Two rows can link by the key as the first they share only if their sizes leave as much as the differences before it take.
-    rows = large.select("key", F.col("a").alias("sig"), size.alias("n"), (size - 7 * place).alias("left")).join(rooted, "sig", "left")
+    rows = large.select("key", F.col("a").alias("sig"), size.alias("n"), F.shiftright("b", CLASS_AT).alias("c"), (size - 7 * place).alias("left")).join(rooted, "sig", "left")
     rows = written(rows.withColumn("root", F.coalesce("root", "sig")))
-    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("left").alias("left"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.max("left").alias("most")).where("roots > 1")
-    minor = counts.join(main, "key").where("root <> main and left + most >= 0")
-    main = written(minor.groupBy("key").agg(F.first("main").alias("main"), F.first("most").alias("most"), F.max("left").alias("minor_most")))
+    counts = rows.groupBy("key", "root", "c").agg(F.count("*").alias("rows"), F.max("left").alias("left"))
+    main = counts.groupBy("key", "root").agg(F.sum("rows").alias("rows")).groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots"))
+    # The best row of another component around each size class; a similarity of 3/4 spans three classes at most.
+    near = counts.select("key", "root", "left", F.explode(F.sequence(F.col("c") - 3, F.col("c") + 3)).alias("c"))
+    top = near.groupBy("key", "c").agg(F.max(F.struct("left", "root")).alias("top"))
+    second = near.join(top, ["key", "c"]).where("root <> top.root").groupBy("key", "c").agg(F.first("top").alias("top"), F.max("left").alias("second"))
+    partner = F.when(F.col("root") == F.col("top.root"), F.col("second")).otherwise(F.col("top.left"))
+    rows = rows.join(second, ["key", "c"]).where(F.col("left") + partner >= 0).select("key", "sig", "n", "root", "left")
+    rows = rows.join(main.where("roots > 1").select("key", "main"), "key").withColumn("minor", F.col("root") != F.col("main"))
+    rows = written(rows)
+    minors = written(rows.where("minor").groupBy("key").agg(F.count("*").alias("minors")))
+    # A group of few such members is compared with them as it is, which is linear in its size.
+    some = rows.join(minors.where(F.col("minors") <= FEW).select("key"), "key")
+    few = some.where("minor").select("key", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "root", "left")])
+    alike = 4 * F.least("n", "n_a") >= 3 * F.greatest("n", "n_a")
+    met = few.join(some, "key").where((F.col("root") != F.col("root_a")) & alike & (F.col("left") + F.col("left_a") >= 0))
+    direct = met.select(F.least("sig", "sig_a").alias("a"), F.greatest("sig", "sig_a").alias("b"))
+    rows = rows.join(minors.where(F.col("minors") > FEW).select("key"), "key")
+    main = rows.select("main").distinct()
     degrees = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
-    of_main = rooted.join(main.select(F.col("main").alias("root")).distinct(), "root", "left_semi").join(degrees, "sig", "left")
+    of_main = rooted.join(main.withColumnRenamed("main", "root"), "root", "left_semi").join(degrees, "sig", "left")
     centres = of_main.groupBy("root").agg(F.max_by("sig", F.struct(F.coalesce("links", F.lit(0)), "sig")).alias("x"))
-    centred = main.join(centres.withColumnRenamed("root", "main"), "main", "left").withColumn("x", F.coalesce("x", "main"))
-    members = rows.join(centred, "key").withColumn("minor", F.col("root") != F.col("main"))
-    members = members.where(F.col("left") + F.when(F.col("minor"), F.col("most")).otherwise(F.col("minor_most")) >= 0)
-    members = written(members.select("x", "sig", "n", "root", "minor").distinct())
-    drop_written(rows)
-    drop_written(main)
+    centred = rows.join(centres.withColumnRenamed("root", "main"), "main", "left").withColumn("x", F.coalesce("x", "main"))
+    members = written(centred.select("x", "sig", "n", "root", "minor").distinct())
     wanted = members.select(F.explode(F.array("x", "sig")).alias("sig")).distinct()
     whole = _sets(docs, _first_ids(sets, wanted))
     both = members.join(whole, "sig").join(whole.select(F.col("sig").alias("x"), F.col("hashes").alias("centre")), "x").select("x", "centre", "sig", "hashes", "n", "root", "minor")
@@ -530,19 +544,21 @@ def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFr
                 elements, size = differences(own, centre, minor, sent.value)
                 k = len(elements)
                 if k:
-                    place = np.arange(k)
-                    same = lambda v: np.full(k, v, np.int64)  # noqa: E731, B023
-                    columns = [same(x), elements, place, size - place, same(sig), same(n), same(root)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(k, minor))], names=[c.split()[0] for c in APART.split(", ")])
+                    place = np.arange(k, dtype=np.int32)
+                    same = lambda v, kind: np.full(k, v, kind)  # noqa: E731, B023
+                    # Equal keys of different elements only add pairs to verify.
+                    key = _scramble(elements.view(np.uint64) + _scramble(np.full(1, x).view(np.uint64))).view(np.int64)
+                    columns = [key, place, np.int32(size) - place, same(sig, np.int64), same(n, np.int32), same(root, np.int64), same(minor, bool)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in APART.split(", ")])
 
     apart = written(map_batches(both, emit, APART))
-    minor = apart.where("minor").select("x", "element", *[F.col(c).alias(f"{c}_a") for c in ("place", "rest", "sig", "n", "root")])
+    minor = apart.where("minor").select("key", *[F.col(c).alias(f"{c}_a") for c in ("place", "rest", "sig", "n", "root")])
     size = F.col("n") + F.col("n_a")
-    fits = (F.col("root") != F.col("root_a")) & (4 * F.least("n", "n_a") >= 3 * F.greatest("n", "n_a")) & (7 * (F.col("place") + F.col("place_a") + F.abs(F.col("rest") - F.col("rest_a"))) <= size)
-    met = minor.join(apart, (["x", "element"])).where(fits)
-    pairs = met.select(F.least("sig", "sig_a").alias("a"), F.greatest("sig", "sig_a").alias("b")).distinct()
+    fits = (F.col("root") != F.col("root_a")) & alike & (7 * (F.col("place") + F.col("place_a") + F.abs(F.col("rest") - F.col("rest_a"))) <= size)
+    met = minor.join(apart, "key").where(fits)
+    pairs = met.select(F.least("sig", "sig_a").alias("a"), F.greatest("sig", "sig_a").alias("b")).unionByName(direct).distinct()
     out = written(pairs.join(tried, ["a", "b"], "left_anti"))
-    for done in (members, whole, apart):
+    for done in (minors, members, whole, apart):
         drop_written(done)
     return out
 

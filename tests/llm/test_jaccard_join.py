@@ -110,6 +110,7 @@ def test_a_large_group_of_which_few_link(spark, seed, monkeypatch):
         return out
 
     monkeypatch.setattr(J, "across", counted)
+    monkeypatch.setattr(J, "FEW", 0 if seed == 3 else 64)
     got = sorted((tuple(r) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
     assert len({c for _, _, c in got}) > 20 and made[0] < 10 * len(rows)
