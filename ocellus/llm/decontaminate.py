@@ -135,13 +135,6 @@ def search(ids: np.ndarray, order: np.ndarray, test: TestSuffixes) -> tuple[np.n
     return depth, lo, hi, window_lo, window_hi
 
 
-def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For ranges [lo, hi): the number of the range and the place, for each place in one."""
-    n = hi - lo
-    which = np.repeat(np.arange(len(n)), n)
-    return which, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-
-
 class Shard:
     """Word numbers of some documents, each followed by a 0."""
 
@@ -166,24 +159,68 @@ class Shard:
         least = int(test.windows[test.windows > 0].min()) if (test.windows > 0).any() else 1
         at = at[ends[np.searchsorted(ends, at)] - at >= least]
         order = suffix_array(ids, at, int(test.lengths.max()) if len(test.lengths) else 0, len(test.vocabulary))
-        depth, lo, hi, window_lo, window_hi = search(ids, order, test)
-        which, place = _ranges(window_lo, window_hi)
-        self.window_item, self.window_at = test.item[which], order[place]
+        self.order = order
+        self.depth, self.lo, self.hi, window_lo, window_hi = search(ids, order, test)
+        # Ranges of windows of one length are equal or apart: each is read once, whatever the number of items that hold it.
+        found = np.flatnonzero(window_hi > window_lo)
+        ranges, of = np.unique(np.stack([window_lo[found], window_hi[found], test.windows[found]], axis=1), axis=0, return_inverse=True)
         cover = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(cover, self.window_at, 1)
-        np.add.at(cover, self.window_at + test.windows[which], -1)
+        docs: list[np.ndarray] = []
+        for a, b, words in ranges.tolist():
+            place = order[a:b]
+            np.add.at(cover, place, 1)
+            np.add.at(cover, place + words, -1)
+            docs.append(np.unique(self.doc_of(place)))
         self.hit = np.cumsum(cover)[:-1] > 0
-        self.window_doc = self.doc_of(self.window_at)
-        long = depth >= least
-        which, place = _ranges(np.where(long, lo, 0), np.where(long, hi, 0))
-        self.match_suffix, self.match_at, self.match_length = which, order[place], depth[which]
-        # A match that the word before extends is part of a longer one.
-        first = test.starts[which] - (test.starts[which] > 0)
-        inner = (test.item[np.maximum(which - 1, 0)] == test.item[which]) & (which > 0)
-        before = np.where(self.match_at > 0, ids[np.maximum(self.match_at - 1, 0)], 0)
-        whole = ~(inner & (before > 0) & (before == test.ids[first]))
-        self.match_suffix, self.match_at, self.match_length = (x[whole] for x in (self.match_suffix, self.match_at, self.match_length))
-        self.match_doc = self.doc_of(self.match_at)
+        # Pairs of documents and items: each item of a range with each document in it.
+        pairs = np.unique(np.stack([of.reshape(-1), test.item[found]], axis=1), axis=0)
+        self.pair_doc = np.concatenate([docs[r] for r in pairs[:, 0].tolist()] or [np.zeros(0, np.int64)])
+        self.pair_item = np.repeat(pairs[:, 1], [len(docs[r]) for r in pairs[:, 0].tolist()])
+        self.least = least
+
+    def longest(self) -> list[tuple[int, int, int, int]]:
+        """(document, words, place, test suffix) of each document's longest match; of equal ones the first.
+
+        Ranges of longest matches lie in one another or apart, so a sweep gives
+        each place the deepest range around it.
+        """
+        long = np.flatnonzero((self.depth >= self.least) & (self.hi > self.lo))
+        by = long[np.lexsort((long, self.depth[long], -self.hi[long], self.lo[long]))]
+        best = np.full(len(self.order), -1)
+        open_: list[tuple[int, int]] = []  # end and suffix of the ranges around the sweep's place
+        at = 0
+        for suffix, lo, hi in zip(by.tolist(), self.lo[by].tolist(), self.hi[by].tolist(), strict=True):
+            while open_ and open_[-1][0] <= lo:
+                end, inner = open_.pop()
+                best[at:end], at = inner, max(at, end)
+            if open_:
+                best[at:lo] = open_[-1][1]
+            at = max(at, lo)
+            if not (open_ and open_[-1][0] == hi and self.depth[open_[-1][1]] >= self.depth[suffix] and self.lo[open_[-1][1]] == lo):
+                open_.append((hi, suffix))
+        while open_:
+            end, inner = open_.pop()
+            best[at:end], at = inner, max(at, end)
+        held = np.flatnonzero(best >= 0)
+        place, suffix = self.order[held], best[held]
+        doc, words = self.doc_of(place), self.depth[suffix]
+        by = np.lexsort((place, -words, doc))
+        _, head = np.unique(doc[by], return_index=True)
+        return [(int(doc[i]), int(words[i]), int(place[i]), int(suffix[i])) for i in by[head].tolist()]
+
+    def locations(self, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Test suffixes and places of all longest matches, about ``most`` at a time, without those that the word before extends."""
+        test, ids = self.test, self.ids
+        long = np.flatnonzero((self.depth >= self.least) & (self.hi > self.lo))
+        first = test.starts - (test.starts > 0)
+        inner = np.concatenate([[False], test.item[1:] == test.item[:-1]]) if len(test.item) else np.zeros(0, bool)
+        for suffix in long.tolist():
+            for a in range(int(self.lo[suffix]), int(self.hi[suffix]), most):
+                place = self.order[a : min(a + most, int(self.hi[suffix]))]
+                before = np.where(place > 0, ids[np.maximum(place - 1, 0)], 0)
+                place = place[~(inner[suffix] & (before > 0) & (before == test.ids[first[suffix]]))]
+                if len(place):
+                    yield np.full(len(place), suffix), place
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begin, at, side="right") - 1
@@ -239,15 +276,11 @@ def _scanned(docs: DataFrame, test: TestSuffixes, shard_words: int) -> DataFrame
             for d, s, e in zip(shard.doc_of(a).tolist(), a.tolist(), b.tolist(), strict=True):
                 spans[d].append({"start": s - int(shard.begin[d]), "end": e - int(shard.begin[d])})
             items: list[set] = [set() for _ in range(n)]
-            pair = np.unique(shard.window_doc * max(1, len(test.names)) + shard.window_item)
-            for k in pair.tolist():
-                items[k // len(test.names)].add(test.names[k % len(test.names)])
+            for d, k in zip(shard.pair_doc.tolist(), shard.pair_item.tolist(), strict=True):
+                items[d].add(test.names[k])
             longest: list[dict | None] = [None] * n
-            by = np.lexsort((shard.match_at, shard.match_suffix, -shard.match_length, shard.match_doc))
-            _, head = np.unique(shard.match_doc[by], return_index=True)
-            for i in by[head].tolist():
-                d, s = int(shard.match_doc[i]), int(shard.match_suffix[i])
-                longest[d] = {"length": int(shard.match_length[i]), "at": int(shard.match_at[i] - shard.begin[d]), "item_id": test.names[test.item[s]], "item_at": int(shard.item_at(np.array([s]))[0])}
+            for d, words, at, s in shard.longest():
+                longest[d] = {"length": words, "at": at - int(shard.begin[d]), "item_id": test.names[test.item[s]], "item_at": int(shard.item_at(np.array([s]))[0])}
             whole = pa.Table.from_batches(rows)
             columns = [whole.column(0), whole.column(1), pa.array(shard.n_words, pa.int64()), spans, [sorted(x) for x in items], longest]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.struct([("length", pa.int64()), ("at", pa.int64()), ("item_id", pa.string()), ("item_at", pa.int64())])]
@@ -296,9 +329,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_c
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for shard, rows in _shards(batches, 1, sent.value, shard_words):
-                doc = pa.Table.from_batches(rows).column(0).combine_chunks().take(pa.array(shard.match_doc))
-                item = pa.array([shard.test.names[i] for i in shard.test.item[shard.match_suffix].tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([doc, item, pa.array(shard.item_at(shard.match_suffix)), pa.array(shard.match_at - shard.begin[shard.match_doc]), pa.array(shard.match_length)], names=["doc_id", "item_id", "item_at", "doc_at", "length"])
+                ids = pa.Table.from_batches(rows).column(0).combine_chunks()
+                for suffix, place in shard.locations():
+                    doc = shard.doc_of(place)
+                    item = pa.array([shard.test.names[i] for i in shard.test.item[suffix].tolist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), item, pa.array(shard.item_at(suffix)), pa.array(place - shard.begin[doc]), pa.array(shard.depth[suffix])], names=["doc_id", "item_id", "item_at", "doc_at", "length"])
 
         found = map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, MATCHES)
         out = found if out is None else out.unionByName(found)
@@ -307,7 +342,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_c
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` without the documents in which a window of the benchmark occurs; all columns stay."""
+    """``docs`` without the documents in which a window of the benchmark occurs; all columns stay.
+
+    Null and empty texts stay, as do null doc_ids and repeated rows without a
+    window; an empty benchmark removes nothing; an empty table stays empty.
+    """
     schema: StructType = docs.schema
     text = schema.fieldNames().index("text")
     for test in _blocks(benchmark, window, block_chars):
@@ -316,7 +355,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for shard, rows in _shards(batches, text, sent.value, shard_words):
                 clean = np.ones(len(shard.n_words), bool)
-                clean[shard.window_doc] = False
+                clean[shard.pair_doc] = False
                 first = 0
                 for batch in rows:
                     yield batch.filter(pa.array(clean[first : first + batch.num_rows]))

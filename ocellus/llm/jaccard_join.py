@@ -525,12 +525,13 @@ def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFr
     met = few.join(some, "key").where((F.col("root") != F.col("root_a")) & alike & (F.col("left") + F.col("left_a") >= 0))
     direct = met.select(F.least("sig", "sig_a").alias("a"), F.greatest("sig", "sig_a").alias("b"))
     rows = rows.join(minors.where(F.col("minors") > FEW).select("key"), "key")
-    main = rows.select("main").distinct()
+    of_key = written(rows.select("key", "main").distinct())
+    main = of_key.select("main").distinct()
     degrees = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
     of_main = rooted.join(main.withColumnRenamed("main", "root"), "root", "left_semi").join(degrees, "sig", "left")
     centres = of_main.groupBy("root").agg(F.max_by("sig", F.struct(F.coalesce("links", F.lit(0)), "sig")).alias("x"))
-    centred = rows.join(centres.withColumnRenamed("root", "main"), "main", "left").withColumn("x", F.coalesce("x", "main"))
-    members = written(centred.select("x", "sig", "n", "root", "minor").distinct())
+    of_key = of_key.join(centres.withColumnRenamed("root", "main"), "main", "left").select("key", F.coalesce("x", "main").alias("x"))
+    members = written(rows.join(of_key, "key").select("x", "sig", "n", "root", "minor").distinct())
     wanted = members.select(F.explode(F.array("x", "sig")).alias("sig")).distinct()
     whole = _sets(docs, _first_ids(sets, wanted))
     both = members.join(whole, "sig").join(whole.select(F.col("sig").alias("x"), F.col("hashes").alias("centre")), "x").select("x", "centre", "sig", "hashes", "n", "root", "minor")

@@ -104,3 +104,12 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = D.report(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
     assert (r.n_words, r.n_hit) == (300_030, 30)
+
+
+def test_one_word_repeated(spark):
+    docs = [(1, "a " * 300_000), (2, "b a a a"), (3, None), (4, "a " * 10)]
+    items = [(i, "a " * n) for i, n in ((1, 400), (2, 12), (3, 3))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.longest_match) for r in D.report(*frames).collect()}
+    assert got == {1: (300_000, 300_000, 3, 400), 2: (4, 3, 1, 3), 3: (0, 0, 0, 0), 4: (10, 10, 3, 10)}
+    assert [r.doc_id for r in D.remove_contaminated(*frames).collect()] == [3]
