@@ -53,6 +53,9 @@ IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript scri
 QUALIFIERS = frozenset("has no not with without".split())
 #: Words that also name layouts, so that an element named by these alone can hold a page's own text.
 LAYOUT = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation sidebar toolbar topbar widget".split())
+#: Words of an element's own text; a name that holds one of them, and otherwise only words of layouts or of these extras, may be a wrapper's.
+CONTENT_NAMED = frozenset("article body content entry main page post story text".split())
+EXTRAS = frozenset("ad ads popup promo related share sharing social subscribe subscription".split())
 #: How sure it is that an element is no content: unless it holds the page's article; unless it holds that or most of the text; always.
 NAMED, LAID_OUT, ALWAYS = 1, 2, 3
 _NAME = re.compile(r"[a-z]+|\d+")
@@ -75,8 +78,18 @@ class Lines(HTMLParser):
         self.linked: list[int] = []
         self.open: list[str] = []
         self.count = self.link = 0
+        self.articles = 0  # open article and main elements
         self.in_link = False
 
+    @property
+    def in_article(self) -> bool:
+        return self.articles > 0
+
+    def _cut(self, depth: int) -> None:
+        """Closes the open elements from ``depth`` on."""
+        self.articles -= sum(name in ("article", "main") for name, _ in self.stack[depth:])
+        del self.stack[depth:]
+
     def flush(self) -> None:
         text = " ".join("".join(self.open).split())
         if text:
@@ -94,7 +107,7 @@ class Lines(HTMLParser):
         excluded = 0 if tag in ROOTS else named
         if tag == "form":
             excluded = max(excluded, NAMED)
-        elif tag in NEVER or tag == "header" and not any(s[0] in ("article", "main") for s in self.stack):
+        elif tag in NEVER or tag == "header" and not self.in_article:
             excluded = ALWAYS
         if block:
             self.flush()
@@ -115,6 +128,7 @@ class Lines(HTMLParser):
             self.excluded.append(excluded)
             self.named.append(named > 0)
             self.stack.append((tag, len(self.names) - 1))
+            self.articles += tag in ("article", "main")
         elif tag in ("td", "th"):
             self.open.append(" ")
 
@@ -123,23 +137,30 @@ class Lines(HTMLParser):
         for depth, (name, _) in enumerate(self.stack):
             if name == "head":
                 self.flush()
-                del self.stack[depth:]
+                self._cut(depth)
                 return
 
     def _excluded(self, attrs: list[tuple[str, str | None]]) -> int:
-        words: set[str] = set()
+        found: set[str] = set()
+        header, laid_out = False, True
         for name, value in attrs:
             if name in ("class", "id"):
                 for part in (value or "").split():
-                    words.update(takewhile(lambda w: w not in QUALIFIERS, _NAME.findall(_CAMEL.sub(" ", part).lower())))
+                    words = _NAME.findall(_CAMEL.sub(" ", part).lower())
+                    if words[-1:] == ["free"]:
+                        continue  # ad-free: the name of what is not there
+                    words = set(takewhile(lambda w: w not in QUALIFIERS, words))
+                    own = words & NEVER_NAMED
+                    header |= bool(words & HEADER)
+                    laid_out &= own <= (LAYOUT | EXTRAS if words & CONTENT_NAMED else LAYOUT)
+                    found |= own
             elif name == "role" and (value or "").lower() in NEVER_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
                 return ALWAYS
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
                 return ALWAYS
-        found = words & NEVER_NAMED
-        if words & HEADER and not any(s[0] in ("article", "main") for s in self.stack):
-            found |= words & HEADER
-        return 0 if not found else LAID_OUT if found <= LAYOUT else NAMED
+        if header and not self.in_article:
+            return LAID_OUT if laid_out else NAMED
+        return 0 if not found else LAID_OUT if laid_out else NAMED
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,7 +173,7 @@ class Lines(HTMLParser):
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.stack[depth][0] == tag:
                 self.flush()
-                del self.stack[depth:]
+                self._cut(depth)
                 return
             if self.stack[depth][0] in ("article", "main", "body") and tag not in ROOTS:
                 break
@@ -221,14 +242,21 @@ def never_content(page: Lines) -> np.ndarray:
         if excluded[i] != ALWAYS:
             own[parents[i]] += own[i]
             articles[parents[i]] += articles[i]
-    for i in unsure:
-        if never[parents[i]] or (all_articles * ~never).any():
+    # Text and articles in each element that no excluded element inside it holds.
+    free, free_articles = allowed.copy(), all_articles.copy()
+    for i in range(len(never) - 1, 0, -1):
+        if not excluded[i]:
+            free[parents[i]] += free[i]
+            free_articles[parents[i]] += free_articles[i]
+    text, outside = free[0], free_articles[0]
+    never = np.zeros(len(excluded), bool)
+    for i in range(1, len(never)):
+        never[i] = never[parents[i]] or excluded[i] > 0
+        if not never[i] or never[parents[i]] or excluded[i] == ALWAYS:
             continue
-        if own[i] > allowed[~never].sum() and (articles[i] or excluded[i] == LAID_OUT):
-            excluded[i] = 0
+        if not outside and own[i] > text and (articles[i] or excluded[i] == LAID_OUT):
             never[i] = False
-            for k in range(i + 1, len(never)):
-                never[k] = never[parents[k]] or excluded[k] > 0
+            text, outside = text + free[i], outside + free_articles[i]
     return never
 
 

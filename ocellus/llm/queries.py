@@ -25,8 +25,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = url_filter.fit(url_filter.built_in_labelled(spark))
-    return url_filter.judge(table(spark, sf_dir, "pages"), model)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(url_filter.labelled_by_rules(pages)))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

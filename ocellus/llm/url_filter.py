@@ -3,14 +3,14 @@
 The trees see lexical features only: lengths, depth, digit ratio, entropy,
 parameter counts, hyphens, and statistics of the host's suffix among the
 labelled URLs.  Suffix statistics count all labelled URLs, in a fixed number
-of hash buckets; the trees are fitted on at most ``SAMPLE`` of them, those
+of hash buckets and ``FOLDS`` folds, so that a training URL's own label is in
+none of its features; the trees are fitted on at most ``SAMPLE`` URLs, those
 with the smallest hashes.
 """
 
 from __future__ import annotations
 
 import math
-import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,13 +18,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm._arrow import map_batches
 
 SAMPLE = 20_000
 BUCKETS = 4096
+FOLDS = 5
+#: Lexical features of a URL; two suffix statistics follow.
+LEXICAL = 14
 JUDGED = "page_id long, host string, path string, rule string, score double, verdict string"
 
 #: The rules of the query, as (verdict, host, path).
@@ -75,14 +78,23 @@ def lexical(url: str | None) -> tuple[float, ...]:
     )
 
 
-def features(urls: list[str | None], suffix: np.ndarray) -> np.ndarray:
-    """Lexical features and the suffix's smoothed share of blocked URLs."""
+def host_text(url: str | None) -> str:
+    """The host of a URL as :func:`host_of` finds it."""
+    return (url or "").partition("://")[2].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
+
+
+def features(urls: list[str | None], suffix: np.ndarray, own: list[int] | None = None) -> np.ndarray:
+    """Lexical features and the suffix's smoothed share of blocked URLs, without the fold ``own`` of each URL if given.
+
+    ``suffix`` has allowed and blocked URLs by bucket and fold.
+    """
+    total = suffix.sum(axis=1)
     rows = []
-    for u in urls:
-        host = (u or "").partition("://")[2].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
-        allowed, blocked = suffix[suffix_bucket(host)]
+    for i, u in enumerate(urls):
+        bucket = suffix_bucket(host_text(u))
+        allowed, blocked = total[bucket] - (suffix[bucket, own[i]] if own else 0)
         rows.append((*lexical(u), (blocked + 1) / (allowed + blocked + 2), math.log1p(allowed + blocked)))
-    return np.array(rows, np.float64).reshape(len(urls), -1)
+    return np.array(rows, np.float64).reshape(len(urls), LEXICAL + 2)
 
 
 @dataclass
@@ -161,53 +173,40 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
-    """Fits the trees on ``labelled`` (url, blocked 0/1); rows with a null label are left out."""
-    rows = labelled.select(F.col("url").cast("string"), F.col("blocked").cast("int")).where("blocked is not null")
+    """Fits the trees on ``labelled`` (url, blocked 0/1).
+
+    Rows with a null label are left out, null URLs count as empty.  Without
+    labels every score is 0.5.
+    """
+    rows = labelled.select(F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.col("blocked").cast("int")).where("blocked is not null")
     bucket = F.pmod(F.crc32(F.element_at(F.split(host_of(F.col("url")), r"\."), -1).cast("binary")), F.lit(BUCKETS)).cast("int")
-    suffix = np.zeros((BUCKETS, 2))
-    for r in rows.groupBy(bucket.alias("b")).agg(F.sum(1 - F.col("blocked")), F.sum("blocked")).collect():
-        suffix[r[0]] = r[1], r[2]
-    got = rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample).collect()
-    x = features([r.url for r in got], suffix)
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    suffix = np.zeros((BUCKETS, FOLDS, 2))
+    for r in rows.groupBy(bucket.alias("b"), fold.alias("f")).agg(F.sum(1 - F.col("blocked")), F.sum("blocked")).collect():
+        suffix[r[0], r[1]] = r[2], r[3]
+    got = rows.select("url", "blocked", fold.alias("fold")).orderBy(F.xxhash64("url"), "url", "blocked").limit(sample).collect()
+    x = features([r.url for r in got], suffix, [r.fold for r in got])
     return UrlModel(suffix, BoostedTrees().fit(x, np.array([r.blocked for r in got], np.float64)))
 
 
-#: Words and forms from which the built-in labelled URLs are made.
-PLAIN_WORDS = "river garden history museum school travel kitchen science letters harbour village market journal library weather music forest theatre".split()
-SPAM_WORDS = "poker slots jackpot lottery viagra loans replica coupon payday dating prize forex dieta cialis gratis promo seo tracker".split()
-PLAIN_FORMS = ["/{w}/{n}", "/{w}", "/en/{n}", "/{w}/{v}.html", "/article/{n}?page=2", "/{w}/{n}/", "/", "/{w}#top", "/{w}?utm_source=feed"]
-SPAM_FORMS = ["/{w}/{n}", "/{w}-{v}-{n}.html", "/?id={n}&aff={m}", "/{w}?ref={n}", "/en/{n}", "/go/{n}/{m}/{w}", "/{n}{m}"]
-ENDINGS = ["com", "net", "org"]
-
+def labelled_by_rules(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """The URLs of ``pages`` as labelled by block and allow rules: blocked if a block rule decides, else not.
 
-def built_in_labelled(spark: SparkSession, rows: int = 4000, seed: int = 7) -> DataFrame:
-    """Labelled URLs made by rule, for use where no labelled table is at hand.
-
-    Plain hosts are mostly single words or words run together; blocked ones
-    chain two or three advertising words by hyphens or digits.
+    The rules are a site's own judgement, so URLs that no rule names count as
+    allowed; the trees learn which of them look like the blocked ones.
     """
-    r = random.Random(seed)
-    out = []
-    for i in range(rows):
-        blocked = i % 3 == 0
-        words = SPAM_WORDS if blocked else PLAIN_WORDS
-        w, v = r.sample(words, 2)
-        if blocked:
-            host = r.choice([f"{w}-{v}", f"{w}-{v}", f"{w}-{v}-{r.choice(words)}", f"{w}{r.randint(10, 9999)}-{v}", f"best-{w}{r.randint(1, 99)}"])
-        else:
-            host = r.choice([w, w + v, w + v[:3], w[:4] + v[:4], f"{w}.{v}", w, w + v, w + v[:2], v + w[:5], f"{w}-{v}"])
-        host = r.choice(["", "", "www.", "m.", "blog."]) + host + r.choice([".example.", "."]) + r.choice(ENDINGS)
-        path = r.choice(SPAM_FORMS if blocked else PLAIN_FORMS).format(w=w, v=v, n=r.randint(1, 999), m=r.randint(1, 99))
-        out.append((f"{r.choice(['http', 'https'])}://{host}{path}", int(blocked)))
-    return spark.createDataFrame(out, "url string, blocked int")
+    url = F.col("url").cast("string")
+    rule = rule_of(host_of(url), path_of(url), rules)
+    return pages.select(url.alias("url"), F.coalesce(rule["verdict"] == "block", F.lit(False)).cast("int").alias("blocked"))
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
     """Each page's host, path, rule and verdict.
 
-    The longest rule that fits decides; else a URL is blocked if the model's
+    The longest rule that fits decides, of equally long ones the last by name; else a URL is blocked if the model's
     score is ``threshold`` or more.  A null url, or one without ``://``, has an
-    empty host and path and is judged by the model; each row gives one row.
+    empty host and path and is judged by the model; each row gives one row,
+    whatever the length of its URL.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model)
 

@@ -1,5 +1,7 @@
 """op7 on small pages whose main text is known."""
 
+import time
+
 import pytest
 
 from ocellus.llm import html_text as H
@@ -79,3 +81,19 @@ def test_whole_table(spark):
     got = sorted(H.extract(pages).collect(), key=lambda r: -r.n_chars)
     assert (got[0].text, got[0].n_chars) == (f"{LONG} 🙂", len(LONG) + 2) and [r.text for r in got[1:]] == ["", ""]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_wrappers_named_for_what_they_hold():
+    body = "<h1>Title</h1><p>This is the long article text, with many words in it.</p><p>More of it follows here for sure.</p>"
+    want = "Title\nThis is the long article text, with many words in it.\nMore of it follows here for sure."
+    for name in ("content no-sidebar", "main ad-free", "post-with-comments", "layout has-sidebar", "article-share", "page-content sidebar"):
+        assert H.main_text(f"<html><body><div class='{name}'>{body}</div><div class='sidebar'><p>Other stories to read.</p></div></body></html>") == want, name
+    assert H.main_text(f"<body><div class='layout has-sidebar'>{body}<div class='sidebar'><p>Other stories.</p></div></div><div class='post-comments'><p>Nice!</p></div></body>") == want
+
+
+def test_deep_pages_take_linear_time():
+    n = 60_000
+    start = time.process_time()
+    for page in ("<div>" * n + "x" + "</div>" * n, "<div class=sidebar>x" * n + "</div>" * n, "<header>" * n, "<div class=sidebar>x</div>" * n + "<article><p>words"):
+        H.main_text(page)
+    assert time.process_time() - start < 30
