@@ -54,6 +54,18 @@ def test_base(spark, texts):
         ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
         ("The lesser artistic boost of python under two rivers", ""),
         ("He has a license to drive; a mit is a glove", ""),
+        ("according to MIT researchers", ""),
+        ("Apache License, Version 2.0", "apache-2"),
+        ("the GNU Lesser General Public License, version 3", "lgpl-3.0"),
+        ("GPLv2", "gpl-2.0"),
+        ("under the terms of the GPLv3 license", "gpl-3.0"),
+        ("SPDX-License-Identifier: AGPLv3", "agpl-3.0"),
+        ("Licensed under LGPLv2.1", "lgpl-2.1"),
+        ("Licensed under the GNU Affero General Public License", "agpl"),
+        ("You may not use this file except in compliance with the License.", "apache-2"),
+        ("Redistributions of source code must retain the above copyright notice", "bsd"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("To the extent possible under law, the author has waived all copyright and related or neighboring rights", "cc0-1.0"),
     ],
 )
 def test_labels(spark, text, labels):
@@ -72,11 +84,13 @@ def strings(parsed):
             parts.append(["1"] if str(arg[0][0]) == "CATEGORY" else [chr(c) for _, c in arg])
         elif name == "BRANCH":
             parts.append([s for one in arg[1] for s in strings(one)])
+        elif name == "ANY":
+            parts.append(["x"])
         elif name == "SUBPATTERN":
             parts.append(list(strings(arg[3])))
         else:
-            assert name == "MAX_REPEAT" and arg[:2] == (0, 1), name
-            parts.append(["", *strings(arg[2])])
+            assert name == "MAX_REPEAT" and arg[0] in (0, 1), name
+            parts.append(["", *strings(arg[2])] if arg[0] == 0 else ["x y"])
     return ["".join(p) for p in itertools.product(*parts)]
 
 
@@ -114,6 +128,28 @@ def test_labels_by_each_alternative(spark, text, labels):
     assert r.labels == labels and r.score > 0.5
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 6), st.integers(0, 4)), max_size=8), min_size=1, max_size=6))
+def test_surviving_is_brute_force(spark, cases):
+    labels = ["a", "b", "a", "c", "b"]
+    rows = [(i, [(f, f + n, p, 0.5, labels[p]) for f, n, p in case]) for i, case in enumerate(cases)]
+    frame = spark.createDataFrame(rows, "i int, found array<struct<first:int,last:int,priority:int,score:double,label:string>>")
+    got = {r.i: sorted(tuple(x) for x in r.s) for r in frame.select("i", L.surviving(L.F.col("found")).alias("s")).collect()}
+    for i, found in rows:
+        want = []
+        for x in found:
+            inside = [y for y in found if y[0] <= x[0] and y[1] >= x[1]]
+            if not any(y[2] < x[2] if y[4] != x[4] else y[1] - y[0] > x[1] - x[0] for y in inside):
+                want.append(x)
+        assert got[i] == sorted(want)
+
+
+def test_very_long_text(spark):
+    text = "plain words " * 100_000 + "licensed under the gpl v2 " + "and more " * 100_000
+    r = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.labels) == (400_005, "gpl-2.0")
+
+
 def test_rules_are_hundreds_and_compile():
     rules = L.rules()
     assert len(rules) > 250 and len({r["priority"] for r in rules}) == len(rules)
