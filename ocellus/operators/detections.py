@@ -61,8 +61,8 @@ def suppressed(boxes: np.ndarray, scores: np.ndarray, labels: np.ndarray, most_c
     return np.array(kept, np.int64)
 
 
-def non_maximum_suppression(detections: Column, most_common: float = 0.5, most: int = 100) -> Column:
-    """Detections that no better one of the same label covers by over ``most_common`` (IOU), best first, at most ``most``."""
+def non_maximum_suppression(detections: Column, most_common: float = 0.5, most: int | None = None) -> Column:
+    """Detections that no better one of the same label covers by over ``most_common`` (IOU), best first; all, or the ``most`` best of them."""
 
     @F.pandas_udf(DETECTIONS)
     def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
