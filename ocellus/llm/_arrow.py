@@ -33,6 +33,18 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(released, schema)
 
 
+def hash_sample(df: DataFrame, columns: list[str], sample: int, total: int) -> DataFrame:
+    """The up to ``sample`` rows with the smallest hashes of ``columns``, of a table with ``total`` rows.
+
+    Rows far beyond the cut are dropped where they are read, so that each task
+    hands on few.  With very many equal rows there may be fewer than ``sample``.
+    """
+    key = F.xxhash64(*columns)
+    if total > 2 * sample:
+        df = df.where(key <= int(-(2**63) + 2**64 * (2 * sample / total)))
+    return df.orderBy(key, *columns).limit(sample)
+
+
 def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of a batch with their first row; null texts are empty.
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._arrow import map_batches, slices
+from ocellus.llm._arrow import hash_sample, map_batches, slices
 
 ROWS = 1 << 17
 DIMENSIONS = 32
@@ -201,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     words = word_vectors(docs)
     sent = docs.sparkSession.sparkContext.broadcast(words)
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
-    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = hash_sample(known, ["doc_id"], sample, known.count())
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +236,11 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those scored below ``threshold``; all columns stay."""
+    """``docs`` without those scored below ``threshold``; all columns stay.
+
+    Null and empty texts have the score of a text without words; repeated rows
+    are judged alike; null doc_ids stay; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._arrow import map_batches
+from ocellus.llm._arrow import hash_sample, map_batches
 
 SAMPLE = 20_000
 BUCKETS = 4096
@@ -184,7 +184,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     suffix = np.zeros((BUCKETS, FOLDS, 2))
     for r in rows.groupBy(bucket.alias("b"), fold.alias("f")).agg(F.sum(1 - F.col("blocked")), F.sum("blocked")).collect():
         suffix[r[0], r[1]] = r[2], r[3]
-    got = rows.select("url", "blocked", fold.alias("fold")).orderBy(F.xxhash64("url"), "url", "blocked").limit(sample).collect()
+    got = hash_sample(rows.select("url", "blocked", fold.alias("fold")), ["url", "blocked"], sample, int(suffix.sum())).collect()
     x = features([r.url for r in got], suffix, [r.fold for r in got])
     return UrlModel(suffix, BoostedTrees().fit(x, np.array([r.blocked for r in got], np.float64)))
 
