@@ -334,18 +334,20 @@ def p23_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT p_partkey, double(ML_PREDICT(forest, p_size)) AS value FROM part")
 
 
-@query("""WITH x AS (SELECT vec_id, unnest(embedding[1:8]) AS v, unnest(range(0, 8)) AS i FROM embeddings), m AS (SELECT vec_id, max(v) AS top FROM x GROUP BY vec_id),
+@query("""WITH x AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT vec_id, max(v) AS top FROM x GROUP BY vec_id),
     s AS (SELECT vec_id, sum(exp(CAST(v AS DOUBLE) - CAST(top AS DOUBLE))) AS total FROM x JOIN m USING (vec_id) GROUP BY vec_id) SELECT vec_id, CAST(min(i) AS INTEGER) AS label_id, round(1 / any_value(total), 4) AS score FROM x JOIN m USING (vec_id) JOIN s USING (vec_id) WHERE v = top GROUP BY vec_id""")
 def p24_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax and the best class of eight logits."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("logits"))
+    """Softmax and the best class of all logits."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
     c = e.select("vec_id", detections.classify(F.col("logits")).alias("c"))
     return c.select("vec_id", "c.label_id", F.round(F.col("c.score").cast("double"), 4).alias("score"))
 
 
 def _order_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.struct("box", (F.col("l_partkey") % 100 / 100).cast("float").alias("score"), (F.col("l_linenumber") % 2).cast("int").alias("label_id"), F.lit(None).cast("string").alias("label"))
-    return lineitem_boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(one).alias("d"))
+    """Boxes of an order as detections, by line and corners (lines repeat)."""
+    one = F.struct("l_linenumber", "box", (F.col("l_partkey") % 100 / 100).cast("float").alias("score"), (F.col("l_linenumber") % 2).cast("int").alias("label_id"))
+    lines = lineitem_boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("d"))
+    return lines.select("l_orderkey", F.transform("d", lambda x: F.struct(x["box"].alias("box"), x["score"].alias("score"), x["label_id"].alias("label_id"), F.lit(None).cast("string").alias("label"))).alias("d"))
 
 
 @query("SELECT l_orderkey, count(CASE WHEN (l_partkey % 100 / 100)::FLOAT >= 0.5 THEN 1 END) AS n FROM lineitem GROUP BY l_orderkey")
@@ -354,17 +356,24 @@ def p25_detection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_detections(spark, sf_dir).select("l_orderkey", F.size(detections.keep_scores(F.col("d"))).cast("long").alias("n"))
 
 
-@query(None)
+_SUPPRESSED = f"""WITH RECURSIVE t AS (SELECT *, l_linenumber % 2 AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey % 100 / 100)::FLOAT DESC, l_linenumber, x0, y0, x1, y1) AS r FROM ({_BOXES})),
+    c AS (SELECT a.l_orderkey, a.r, coalesce(list(b.r) FILTER (b.r IS NOT NULL), []) AS over FROM t a LEFT JOIN t b ON a.l_orderkey = b.l_orderkey AND a.label = b.label AND b.r < a.r AND {_sql_iou('a.', 'b.')} > 0.5 GROUP BY a.l_orderkey, a.r),
+    s AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM t
+        UNION ALL SELECT s.l_orderkey, c.r, CASE WHEN list_has_any(s.kept, c.over) THEN s.kept ELSE list_append(s.kept, c.r) END FROM s JOIN c ON s.l_orderkey = c.l_orderkey AND c.r = s.r + 1)
+    SELECT l_orderkey, CAST(max(len(kept)) AS BIGINT) AS n FROM s GROUP BY l_orderkey"""
+
+
+@query(_SUPPRESSED)
 def p26_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-maximum suppression of each order's boxes."""
     d = _order_detections(spark, sf_dir).select("l_orderkey", detections.non_maximum_suppression(F.col("d"), 0.5).alias("k"))
     return d.select("l_orderkey", F.size("k").cast("long").alias("n"))
 
 
-@query("WITH x AS (SELECT vec_id, unnest(embedding[1:8]) AS v, unnest(range(0, 8)) AS i FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM x) SELECT vec_id, list(CAST(i AS INTEGER) ORDER BY k) AS ids FROM r WHERE k <= 3 GROUP BY vec_id")
+@query("WITH x AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM x) SELECT vec_id, list(CAST(i AS INTEGER) ORDER BY k) AS ids FROM r WHERE k <= 3 GROUP BY vec_id")
 def p26_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best of eight scores."""
-    top = detections.top_scores(F.slice("embedding", 1, 8), 3, -1e9)
+    """The three best of all scores."""
+    top = detections.top_scores(F.col("embedding"), 3, -1e9)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(top, lambda x: x["label_id"]).alias("ids"))
 
 
@@ -423,7 +432,7 @@ def s13_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows behind an offset, by row groups."""
     path = _folder(spark, sf_dir, "s13")
     dataset.write_dataset(table(spark, sf_dir, "orders").orderBy("o_orderkey"), path, block_size=64 * 1024)
-    return dataset.sharded(spark, path, 0, 1, offset=1000).agg(F.count("*").alias("n"))
+    return dataset.sharded(spark, path, 0, 1, offset=1000, columns=["o_orderkey"]).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
@@ -431,7 +440,7 @@ def s14_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shards together are the dataset."""
     path = _folder(spark, sf_dir, "s14")
     dataset.write_dataset(table(spark, sf_dir, "orders"), path, block_size=64 * 1024)
-    shards = [dataset.sharded(spark, path, r, 3).select("o_orderkey", "o_custkey") for r in range(3)]
+    shards = [dataset.sharded(spark, path, r, 3, columns=["o_orderkey", "o_custkey"]) for r in range(3)]
     return shards[0].unionByName(shards[1]).unionByName(shards[2])
 
 
@@ -508,7 +517,7 @@ def r_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from ocellus.plans import relational  # noqa: F401  registers its queries
+    from ocellus.plans import files, relational  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 

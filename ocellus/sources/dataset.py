@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -20,6 +21,8 @@ from ocellus.sources.uri import exists, normalize, read_bytes, write_bytes
 from ocellus.types.views import plain, to_view
 
 SIDECAR = "_ocellus/metadata.json"
+#: Footers that are read at a time.
+FOOTER_READERS = 32
 #: Rows between checks of a row group's size.
 ROW_CHECKS = {"parquet.page.size.row.check.min": "3", "parquet.page.size.row.check.max": "32"}
 
@@ -107,20 +110,24 @@ class Dataset:
     def __len__(self) -> int:
         return self.count()
 
+    def _group_rows(self, uri: str) -> list[int]:
+        meta = self._open(uri).metadata
+        return [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]
+
+    def footers(self) -> Iterator[tuple[str, list[int]]]:
+        """Each file with the rows of its row groups, in order; many footers are read at a time."""
+        with ThreadPoolExecutor(FOOTER_READERS) as readers:
+            yield from zip(self.files, readers.map(self._group_rows, self.files), strict=True)
+
     def count(self) -> int:
         """Rows by the files' footers."""
-        return sum(self._open(f).metadata.num_rows for f in self.files)
+        return sum(sum(rows) for _, rows in self.footers())
 
     def groups(self) -> Iterator[tuple[str, int, int]]:
         """(file, row group, rows to skip in it) of this rank."""
         skip, number = self.offset, 0
-        for uri in self.files:
-            meta = self._open(uri).metadata
-            if skip >= meta.num_rows:
-                skip -= meta.num_rows
-                continue
-            for g in range(meta.num_row_groups):
-                rows = meta.row_group(g).num_rows
+        for uri, sizes in self.footers():
+            for g, rows in enumerate(sizes):
                 if skip >= rows:
                     skip -= rows
                     continue
@@ -170,7 +177,8 @@ class _GroupReader(DataSourceReader):
 class RowGroupSource(DataSource):
     """``spark.read.format("ocellus_groups")``: a partition for each row group of a rank.
 
-    Options: path, offset, rank, world_size.  Batches go to the JVM as Arrow.
+    Options: path, columns (comma-separated; all by default), offset, rank,
+    world_size.  Only those columns are read.  Batches go to the JVM as Arrow.
     """
 
     @classmethod
@@ -178,13 +186,18 @@ class RowGroupSource(DataSource):
         return "ocellus_groups"
 
     def schema(self) -> T.StructType:
-        return resolver_of(self.options["path"]).schema(self.options["path"])
+        whole = resolver_of(self.options["path"]).schema(self.options["path"])
+        columns = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        for c in columns:
+            if c not in whole.fieldNames():
+                raise ColumnNotFoundError(f"no column {c!r} in {self.options['path']}")
+        return T.StructType([whole[c] for c in columns]) if columns else whole
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _GroupReader(schema, dict(self.options))
 
 
-def sharded(spark: SparkSession, path: str, rank: int, world_size: int, offset: int = 0) -> DataFrame:
-    """The row groups of a rank as a DataFrame."""
+def sharded(spark: SparkSession, path: str, rank: int, world_size: int, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """The row groups of a rank as a DataFrame, with all columns or those named."""
     spark.dataSource.register(RowGroupSource)
-    return spark.read.format("ocellus_groups").options(path=path, rank=rank, world_size=world_size, offset=offset).load()
+    return spark.read.format("ocellus_groups").options(path=path, rank=rank, world_size=world_size, offset=offset, columns=",".join(columns or [])).load()

@@ -42,6 +42,10 @@ def test_offset_and_shards(spark, tmp_path):
     parts = [[r["id"] for r in Dataset(path, offset=10, rank=k, world_size=3)] for k in range(3)]
     assert sorted(sum(parts, [])) == sorted(every[10:]) and all(parts)
     assert sorted(r.id for r in sharded(spark, path, 1, 3, 10).collect()) == sorted(parts[1])
+    narrow = sharded(spark, path, 1, 3, 10, columns=["id"])
+    assert narrow.columns == ["id"] and sorted(r.id for r in narrow.collect()) == sorted(parts[1])
+    with pytest.raises(Exception, match="nothing"):
+        sharded(spark, path, 0, 1, columns=["nothing"])
     with pytest.raises(ValueError):
         Dataset(path, offset=-1)
 
