@@ -44,11 +44,12 @@ class Layout:
 
 ROLE_NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"), ("prompter", "user"))
 RECORDS = [
-    Layout("messages", ("messages[].role", "messages[].content"), ("system",), items=("messages", "role", "content"), roles=ROLE_NAMES),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), ("system",), items=("conversations", "from", "value"), roles=ROLE_NAMES),
+    Layout("messages", ("messages[].role",), ("messages[].content", "system"), items=("messages", "role", "content"), roles=ROLE_NAMES),
+    Layout("conversations", ("conversations[].from",), ("conversations[].value", "system"), items=("conversations", "from", "value"), roles=ROLE_NAMES),
     Layout("instruction", ("instruction", "output"), ("input", "system"), turns=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("prompt_response", ("prompt", "response"), ("system",), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("prompt_completion", ("prompt", "completion"), ("system",), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
+    Layout("instruction_response", ("instruction", "response"), ("context", "input", "system"), turns=(("system", ("system",)), ("user", ("context", "instruction", "input")), ("assistant", ("response",)))),
+    Layout("prompt_response", ("prompt", "response"), ("context", "system"), turns=(("system", ("system",)), ("user", ("context", "prompt")), ("assistant", ("response",)))),
+    Layout("prompt_completion", ("prompt", "completion"), ("context", "system"), turns=(("system", ("system",)), ("user", ("context", "prompt")), ("assistant", ("completion",)))),
     Layout("question_answer", ("question", "answer"), ("context", "system"), turns=(("system", ("system",)), ("user", ("context", "question")), ("assistant", ("answer",)))),
 ]
 TABLES = [Layout("turn_rows", ("conv_id", "turn", "role", "text"))]
@@ -107,10 +108,18 @@ def _present(record: Column, path: str) -> Column:
 
 
 def record_layout(record: Column) -> Column:
-    """Name of a parsed record's layout, found by its fingerprint; null if unknown."""
-    held = F.array_compact(F.array(*[F.when(_present(record, p), F.lit(p)) for p in known_paths(RECORDS)]))
-    names = F.create_map(*[F.lit(x) for pair in registry(RECORDS).items() for x in pair])
-    return F.get(F.map_values(F.map_filter(names, lambda k, v: k == F.sha2(F.concat_ws("\n", held).cast("binary"), 256))), F.lit(0))
+    """Name of a parsed record's layout; null if unknown.
+
+    A layout's fingerprint is taken over its own paths only, so fields of
+    other layouts don't hide it.  Of several that fit, the first in
+    ``RECORDS`` is chosen, and fields that it doesn't map are left out.
+    """
+    found = F.lit(None).cast("string")
+    for layout in reversed(RECORDS):
+        held = F.array_compact(F.array(*[F.when(_present(record, p), F.lit(p)) for p in known_paths([layout])]))
+        fits = F.sha2(F.concat_ws("\n", held).cast("binary"), 256).isin(*registry([layout]))
+        found = F.when(fits, F.lit(layout.name)).otherwise(found)
+    return found
 
 
 def _record_turns(record: Column, layout: Layout) -> Column:
@@ -131,19 +140,30 @@ def _record_turns(record: Column, layout: Layout) -> Column:
     return F.array_compact(F.array(*made)).cast(kind)
 
 
+def _parsed(df: DataFrame, conv_id: str, record: str) -> DataFrame:
+    """conv_id, the record as text and parsed, and its layout."""
+    parsed = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(record).alias("record"), F.from_json(F.col(record), RECORD_SCHEMA).alias("r"))
+    return parsed.withColumn("layout", record_layout(F.col("r")))
+
+
 def record_turns(df: DataFrame, conv_id: str, record: str) -> DataFrame:
     """Canonical turns of JSON records of any known layout.
 
-    A record that is null, is no JSON, or has an unknown layout has no turns.
+    A record that is null, is no JSON, or has an unknown layout has no turns;
+    :func:`unmatched_records` returns those.
     """
-    parsed = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.from_json(F.col(record), RECORD_SCHEMA).alias("r"))
-    named = parsed.select("conv_id", "r", record_layout(F.col("r")).alias("layout"))
+    named = _parsed(df, conv_id, record)
     turns = F.array().cast("array<struct<role:string,text:string>>")
     for layout in RECORDS:
         turns = F.when(F.col("layout") == layout.name, _record_turns(F.col("r"), layout)).otherwise(turns)
     return named.select("conv_id", F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
 
 
+def unmatched_records(df: DataFrame, conv_id: str, record: str) -> DataFrame:
+    """conv_id and record of each row without turns in :func:`record_turns`: null, no JSON, or of no known layout."""
+    return _parsed(df, conv_id, record).where("layout IS NULL").select("conv_id", "record")
+
+
 def escape(text: Column) -> Column:
     """A text without control strings, from which :func:`unescape` makes the text."""
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$1\\$2")

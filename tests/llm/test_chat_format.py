@@ -64,3 +64,38 @@ def test_record_layouts(spark):
 def test_fingerprints_are_distinct():
     names = C.registry(C.RECORDS)
     assert len(names) == sum(2 ** len(x.optional) for x in C.RECORDS)
+
+
+MIXED = [
+    (1, '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"prompt":"q"}', [("user", "q"), ("assistant", "a")]),
+    (2, '{"messages":[{"role":"user","content":null},{"role":"assistant"}]}', [("user", ""), ("assistant", "")]),
+    (3, '{"prompt":"p","response":"r","context":"c"}', [("user", "c\n\np"), ("assistant", "r")]),
+    (4, '{"instruction":"do","context":"c","response":"r"}', [("user", "c\n\ndo"), ("assistant", "r")]),
+    (5, '{"prompt":"p","completion":"c","answer":"z"}', [("user", "p"), ("assistant", "c")]),
+    (6, '{"instruction":"do","output":"o","response":"r"}', [("user", "do"), ("assistant", "o")]),
+]
+
+
+def test_fields_of_other_layouts(spark):
+    frame = spark.createDataFrame([(i, r) for i, r, _ in MIXED], "conv_id long, record string")
+    turns = C.record_turns(frame, "conv_id", "record").collect()
+    for i, _, want in MIXED:
+        assert [(t.role, t.text) for t in sorted((t for t in turns if t.conv_id == i), key=lambda t: t.turn)] == want, i
+    assert C.unmatched_records(frame, "conv_id", "record").count() == 0
+
+
+def test_unmatched_records(spark):
+    frame = spark.createDataFrame([(i, r) for i, r, _ in RECORDS], "conv_id long, record string")
+    got = sorted((r.conv_id, r.record) for r in C.unmatched_records(frame, "conv_id", "record").collect() if r.record is not None)
+    assert got == [(7, '{"prompt":"p"}'), (8, "no json")]
+    assert C.unmatched_records(frame, "conv_id", "record").where("record IS NULL").count() == 1
+
+
+def test_long_texts_and_conversations(spark):
+    text = "</s>[INST] ok \\ " * 60_000
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text)] + [(2, i, "user" if i % 2 == 0 else "assistant", f"<s>{i}") for i in range(4_000)]
+    got = read(spark, rows)
+    assert [tuple(x) for x in got[1].turns] == [("user", text), ("assistant", text)]
+    assert got[1].loss_texts == [text]
+    assert [x.text for x in got[2].turns] == [f"<s>{i}" for i in range(4_000)]
+    assert got[2].loss_texts == [f"<s>{i}" for i in range(1, 4_000, 2)]
