@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Bytes of an Arrow batch, where the session sets none: JVM and worker hold some batches each for every core.
 BATCH_BYTES = "4MB"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_TIDY_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters of text that are handled at once inside a Python worker.
 SLICE_CHARS = 2_000_000
 
@@ -80,12 +81,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ocellus-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table written once to the shared folder; cuts the lineage."""
-    path = shared_folder(df.sparkSession)
+def written(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """``df`` as a table written once to the shared folder; cuts the lineage.
+
+    If ``tidy``, the write's shuffle files go once it ends; else they stay
+    until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
     schema = df.schema
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+    before = spark.conf.get(_TIDY_SETTING, None)
+    if tidy:
+        spark.conf.set(_TIDY_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY_SETTING) if before is None else spark.conf.set(_TIDY_SETTING, before)
+    out = spark.read.schema(schema).parquet(path)
     out._ocellus_folder = path
     return out
 

@@ -35,6 +35,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ocellus.llm._arrow import drop_written, map_batches, slices, written
+from ocellus.llm import _arrow
+from ocellus.llm._arrow import drop_written, map_batches, slices
+
+#: This module moves many tables in turn, so no shuffle's files may stay behind.
+written = partial(_arrow.written, tidy=True)
 
 WIDTH = 5
 #: A size band reaches from one power of this to the next.
@@ -57,6 +62,10 @@ MAX_HOT = 1_000_000
 GROUP, FEW = 24, 64
 #: Ids up to which a set of documents is looked up by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Whole sets are moved in passes: in each, pairs with about this share of the shingles of all documents.
+PASS_SHARE = 1 / 4
+#: Shingles that a pass may move in any case; small tables need one pass.
+PASS_LEAST = 2_000_000
 
 SETS = "doc_id long, text_hash long, n long, sig long, bits array<long>, hot_key long, hot_n long"
 KEYS = "key long, sig long, n long"
@@ -386,7 +395,7 @@ def _first_ids(sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def promising(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose bit sketches allow a similarity of 3/4; and, for the sets in them, (sig, text_hash).
+    """Pairs whose bit sketches allow a similarity of 3/4, with sizes; and, for the sets in all pairs, sig and text_hash among others.
 
     The sketches' Hamming distance is at most the symmetric difference, which
     is at most a seventh of the sets' sizes together.
@@ -398,8 +407,8 @@ def promising(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = F.least(F.size("sa"), F.size("sb"))
     flipped = F.zip_with(_folded(F.col("sa"), words), _folded(F.col("sb"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     distance = F.aggregate(flipped, F.lit(0), lambda t, x: t + x)
-    near = written(both.where(7 * distance <= F.col("na") + F.col("nb")).select("a", "b").distinct())
-    return near, own.select("sig", "text_hash")
+    near = written(both.where(7 * distance <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb").distinct())
+    return near, own
 
 
 def _sets(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -427,17 +436,42 @@ def _sets(docs: DataFrame, names: DataFrame) -> DataFrame:
     return out
 
 
+def _shingles(sets: DataFrame) -> int:
+    """Shingles of all documents, copies counted too."""
+    return sets.agg(F.sum("n")).first()[0] or 0
+
+
+def _passes(moved: int, ids: int, shingles: int) -> int:
+    """In how many passes whole sets are moved, so that their disk keeps to a share of the documents and their ids can be broadcast."""
+    return max(1, -int(-moved // max(PASS_LEAST, shingles * PASS_SHARE)), -(-ids // BROADCAST_IDS))
+
+
+def _pass_of(column: str, passes: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("pass"), column), F.lit(passes))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of 3/4 or more; a pair may be repeated."""
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of 3/4 or more; a pair may be repeated.
+
+    Pairs carry whole sets, which in a table of near copies take many times
+    its size; so they are verified in passes, each of which leaves its links
+    only.
+    """
     near, ids = promising(pairs, sets)
-    whole = _sets(docs, ids.join(near.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi"))
-    left, right = (whole.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    both = near.join(right, "b").join(left, "a")
-    shared = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("i"), (F.size("ha") + F.size("hb")).cast("long").alias("t"))
-    out = written(shared.where(100 * F.col("i") >= 75 * (F.col("t") - F.col("i"))).select("a", "b"))
-    for done in (near, whole):
+    count, moved = near.agg(F.count("*"), F.sum(F.col("na") + F.col("nb"))).first()
+    passes = _passes(moved or 0, 2 * count, _shingles(sets))
+    out = []
+    for number in range(passes):
+        some = near.where(_pass_of("a", passes) == number).select("a", "b")
+        whole = _sets(docs, ids.join(some.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").select("sig", "text_hash"))
+        left, right = (whole.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+        both = some.join(right, "b").join(left, "a")
+        shared = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("i"), (F.size("ha") + F.size("hb")).cast("long").alias("t"))
+        out.append(written(shared.where(100 * F.col("i") >= 75 * (F.col("t") - F.col("i"))).select("a", "b")))
+        drop_written(whole)
+    for done in (near, ids):
         drop_written(done)
-    return out
+    return reduce(DataFrame.unionByName, out)
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -532,9 +566,6 @@ def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFr
     centres = of_main.groupBy("root").agg(F.max_by("sig", F.struct(F.coalesce("links", F.lit(0)), "sig")).alias("x"))
     of_key = of_key.join(centres.withColumnRenamed("root", "main"), "main", "left").select("key", F.coalesce("x", "main").alias("x"))
     members = written(rows.join(of_key, "key").select("x", "sig", "n", "root", "minor").distinct())
-    wanted = members.select(F.explode(F.array("x", "sig")).alias("sig")).distinct()
-    whole = _sets(docs, _first_ids(sets, wanted))
-    both = members.join(whole, "sig").join(whole.select(F.col("sig").alias("x"), F.col("hashes").alias("centre")), "x").select("x", "centre", "sig", "hashes", "n", "root", "minor")
     sent = spark.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,14 +583,24 @@ def across(spark: SparkSession, docs: DataFrame, large: DataFrame, comps: DataFr
                     columns = [key, place, np.int32(size) - place, same(sig, np.int64), same(n, np.int32), same(root, np.int64), same(minor, bool)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in APART.split(", ")])
 
-    apart = written(map_batches(both, emit, APART))
+    count, moved = members.agg(F.count("*"), F.sum(2 * F.col("n"))).first()
+    passes = _passes(moved or 0, 2 * count, _shingles(sets))
+    parts = []
+    for number in range(passes):
+        some = members.where(_pass_of("sig", passes) == number)
+        wanted = some.select(F.explode(F.array("x", "sig")).alias("sig")).distinct()
+        whole = _sets(docs, _first_ids(sets, wanted))
+        both = some.join(whole, "sig").join(whole.select(F.col("sig").alias("x"), F.col("hashes").alias("centre")), "x").select("x", "centre", "sig", "hashes", "n", "root", "minor")
+        parts.append(written(map_batches(both, emit, APART)))
+        drop_written(whole)
+    apart = reduce(DataFrame.unionByName, parts)
     minor = apart.where("minor").select("key", *[F.col(c).alias(f"{c}_a") for c in ("place", "rest", "sig", "n", "root")])
     size = F.col("n") + F.col("n_a")
     fits = (F.col("root") != F.col("root_a")) & alike & (7 * (F.col("place") + F.col("place_a") + F.abs(F.col("rest") - F.col("rest_a"))) <= size)
     met = minor.join(apart, "key").where(fits)
     pairs = met.select(F.least("sig", "sig_a").alias("a"), F.greatest("sig", "sig_a").alias("b")).unionByName(direct).distinct()
     out = written(pairs.join(tried, ["a", "b"], "left_anti"))
-    for done in (minors, members, whole, apart):
+    for done in (minors, members, *parts):
         drop_written(done)
     return out
 

@@ -116,6 +116,32 @@ def test_a_large_group_of_which_few_link(spark, seed, monkeypatch):
     assert len({c for _, _, c in got}) > 20 and made[0] < 10 * len(rows)
 
 
+def test_near_copies_move_in_passes(spark, monkeypatch):
+    rows = [(100 * g + i, t) for g in range(30) for i, t in family(g, 3, [1])]
+    sizes = {d: len(shingles(t)) for d, t in rows}
+    moved = []
+    sets = J._sets
+
+    def counted(*args):
+        out = sets(*args)
+        moved.append(out.selectExpr("sum(size(hashes))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(J, "_sets", counted)
+    monkeypatch.setattr(J, "PASS_LEAST", 1, raising=False)
+    got = sorted((tuple(r) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert len({c for _, _, c in got}) == 30 and 0 < max(moved) < 0.6 * sum(sizes.values()) <= sum(moved)
+
+
+def test_a_group_around_a_centre_moves_in_passes(spark, monkeypatch):
+    rows = family(5, 200, [0, 1, 4, 5, 6, 7])
+    monkeypatch.setattr(J, "FEW", 0)
+    monkeypatch.setattr(J, "_passes", lambda *_: 3, raising=False)
+    got = sorted((tuple(r) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_linked_sets_share_a_difference():
     r = np.random.default_rng(8)
     linked = 0
