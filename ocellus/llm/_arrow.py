@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,14 +23,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def give_back() -> None:
+    """Returns this process's free memory to the machine; Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` with batches bounded in bytes, and Arrow's free memory given back after each task."""
+    """``df.mapInArrow`` with batches bounded in bytes, and free memory given back after each task."""
     if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
         df.sparkSession.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(released, schema)
 

@@ -203,6 +203,17 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys that occur twice or more, with counts.  Empties ``parts``: a worker holds the keys once, and twice for a moment."""
+    keys = np.concatenate(parts)
+    parts.clear()
+    keys.sort()
+    again = keys[1:] == keys[:-1]
+    first = np.flatnonzero(again & ~np.concatenate([[False], again[:-1]]))
+    last = np.flatnonzero(again & ~np.concatenate([again[1:], [False]]))
+    return keys[first], last - first + 2
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, text hash, set size and set name of each document; and blocks that a task meets twice or more in ``HELD`` blocks, with counts."""
 
@@ -218,8 +229,8 @@ def described(docs: DataFrame) -> DataFrame:
         held = 0
 
         def often() -> pa.RecordBatch:
-            key, count = np.unique(np.concatenate(keys), return_counts=True)
-            return rows(hot_key=key[count > 1], hot_n=count[count > 1])
+            key, count = repeated(keys)
+            return rows(hot_key=key, hot_n=count)
 
         for batch in batches:
             for first, texts in slices(batch, "text"):

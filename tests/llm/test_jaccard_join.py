@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -116,6 +117,20 @@ def test_a_large_group_of_which_few_link(spark, seed, monkeypatch):
     assert len({c for _, _, c in got}) > 20 and made[0] < 10 * len(rows)
 
 
+def test_counting_repeated_keys_holds_them_twice_at_most():
+    r = np.random.default_rng(4)
+    for size, most in ((1, 5), (2, 1), (7, 3), (400_000, 300_000)):
+        keys = r.integers(-most, most, size)
+        want, counts = np.unique(keys, return_counts=True)
+        parts = [x.copy() for x in np.array_split(keys, min(size, 50))]
+        tracemalloc.start()
+        key, count = J.repeated(parts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.array_equal(key, want[counts > 1]) and np.array_equal(count, counts[counts > 1]) and not parts
+        assert size < 1000 or peak < 2 * keys.nbytes
+
+
 def test_near_copies_move_in_passes(spark, monkeypatch):
     rows = [(100 * g + i, t) for g in range(30) for i, t in family(g, 3, [1])]
     sizes = {d: len(shingles(t)) for d, t in rows}
