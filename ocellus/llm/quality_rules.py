@@ -35,8 +35,11 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕ
 
 
 def _without(text: Column, characters: str) -> Column:
-    """How many of the characters a text has."""
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+    """How many of the characters, written as in a class of a regular expression, a text has.
+
+    ``translate`` would make a Java string of each character of the text.
+    """
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{characters}]", ""))
 
 
 def repeat_words(words: Column) -> Column:
@@ -60,7 +63,7 @@ def repeat_words(words: Column) -> Column:
 def measures(text: Column) -> Column:
     """What the rules see of a text, as a struct; a null text has no words."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.char_length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+    chars = F.char_length(F.regexp_replace(text, SPACE, ""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("again")))
@@ -119,9 +122,10 @@ def cutoffs(measures_: DataFrame, labels: DataFrame, risk: float = RISK, gap: fl
     rows = measures_.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "stratum", level(F.col).alias("level")).join(good, "doc_id")
     # How many levels of the grid a document is over: a histogram has all that the tests need.
     over = F.aggregate(F.array(*[F.lit(g) for g in GRID]), F.lit(0), lambda a, g: a + (F.col("level") > g).cast("int"))
-    counts = written(rows.groupBy("stratum", over.alias("over")).agg(F.count("*").alias("c")))
-    strata = max(1, counts.select("stratum").distinct().count())
-    hist = counts.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("over", "c")).alias("h"))
+    counts = rows.groupBy("stratum", over.alias("over")).agg(F.count("*").alias("c"))
+    # One row for each stratum, so few files: Hadoop starts processes for every file, and each counts as a copy of its JVM until it runs.
+    hist = written(counts.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("over", "c")).alias("h")))
+    strata = max(1, hist.count())
     tests = hist.select("stratum", "n", "h", F.posexplode(F.array(*[F.lit(g) for g in GRID])).alias("g", "cutoff"))
     rejected = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.when(x["over"] > F.col("g"), x["c"]).otherwise(F.lit(0).cast("long")))
     # A stricter level rejects no fewer, so the strictest proven one ends the sequence of proven ones.
