@@ -38,13 +38,18 @@ DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def frequent_pairs(keys: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The up to ``most`` most frequent keys that occur ``least`` times or more."""
+    """The up to ``most`` most frequent keys that occur ``least`` times or more, in ascending order; of equally frequent ones the smallest."""
     ordered = np.sort(keys)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(starts, len(ordered)))
     often = np.flatnonzero(counts >= least)
     if len(often) > most:
-        often = often[np.argpartition(-counts[often], most - 1)[:most]]
+        # Which of equal counts argpartition takes depends on the CPU.
+        n = counts[often]
+        last = np.partition(n, len(n) - most)[len(n) - most]
+        chosen = n > last
+        chosen[np.flatnonzero(n == last)[: most - np.count_nonzero(chosen)]] = True
+        often = often[chosen]
     return ordered[starts[often]]
 
 

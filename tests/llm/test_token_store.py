@@ -85,5 +85,11 @@ def test_repeated_passages_fold_to_few_symbols():
     assert len(symbols) <= 50 * 20 and np.array_equal(S.unfold(symbols, pairs, 49_408), np.tile(passage, 50))
 
 
+def test_equally_frequent_pairs_are_taken_by_key():
+    keys = np.random.default_rng(2).permutation(np.concatenate([np.repeat(np.arange(5000), 6), np.repeat([4100, 4200], 3), np.arange(9000, 9500)])).astype(np.uint32)
+    assert S.frequent_pairs(keys, 1000, 6).tolist() == [*range(998), 4100, 4200]
+    assert S.frequent_pairs(keys, 1, 6).tolist() == [4100] and S.frequent_pairs(keys, 5000, 6).tolist() == [*range(5000)]
+
+
 def test_empty_table(spark):
     assert S.store_and_read(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
