@@ -7,6 +7,7 @@ and the quantity is both sides.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -504,16 +505,15 @@ def r_top_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def r_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows of an hour, as a stream writes them."""
-    from ocellus.streaming import read_stream
+    from ocellus.streaming import read_stream, write_complete
 
-    # The stream runs to its end into a memory table; what it holds is the result.
+    # The stream runs to its end into a folder; what it holds is the result.
     source = read_stream(importable(spark), f"{sf_dir}/events*.parquet")
     span = F.window("ts", "1 hour")
     agg = source.groupBy("user_id", span.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("t"))
-    name = "ocellus_stream_windows"
-    run = agg.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", F.round("t", 4).alias("total"))
+    folder = f"{_folder(spark, sf_dir, 'r_stream_windows')}_{uuid.uuid4().hex}"
+    write_complete(agg, f"{folder}/result", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/result").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", F.round("t", 4).alias("total"))
 
 
 def queries() -> dict[str, Query]:

@@ -37,3 +37,24 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, available_now: bool
     """Appends a stream to a Parquet folder, exactly once for each checkpoint."""
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+#: The conf of a stream's state store, and one that keeps state on disk.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def write_complete(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an aggregated stream over the data there is now; its whole result becomes a Parquet folder.
+
+    Executors write the result and hold the groups on disk, so neither has to
+    fit in memory; a memory sink would bring all groups to the driver.
+    """
+    conf = df.sparkSession.conf
+    kept = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, DISK_STATE)
+    try:
+        writer = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    finally:
+        conf.unset(STATE_STORE) if kept is None else conf.set(STATE_STORE, kept)

@@ -173,3 +173,14 @@ def test_streaming(spark, tmp_path):
     S.write_stream(hourly, f"{tmp_path}/h", f"{tmp_path}/c2").awaitTermination()
     assert [r.n for r in spark.read.parquet(f"{tmp_path}/h").collect()] == [60]
     assert S.sessions(S.read_stream(spark, src), "ts", "5 minutes", ["k"], "1 minute", F.count("*")).isStreaming
+
+
+def test_windows_of_a_stream_stay_off_the_driver(spark):
+    """The result lies in files, not in the driver's memory table, each run has its own, and the session's state store is as before."""
+    from ocellus.plans import queries as plans
+    from ocellus.streaming import STATE_STORE
+
+    before = spark.conf.get(STATE_STORE, None)
+    one, two = (plans.r_stream_windows(spark, "/root/testdata/sf0.001") for _ in range(2))
+    assert one.inputFiles() and two.inputFiles() and not set(one.inputFiles()) & set(two.inputFiles())
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and spark.conf.get(STATE_STORE, None) == before
