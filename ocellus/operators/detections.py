@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,22 +62,53 @@ def suppressed(boxes: np.ndarray, scores: np.ndarray, labels: np.ndarray, most_c
     return np.array(kept, np.int64)
 
 
+def suppressed_groups(groups: np.ndarray, boxes: np.ndarray, scores: np.ndarray, labels: np.ndarray, most_common: float) -> np.ndarray:
+    """Rows that :func:`suppressed` keeps of each group, by group and best scores first; all groups at once.
+
+    In each round every group's best remaining row is kept and those it covers leave.
+    """
+    order = np.lexsort((-scores, groups))
+    g, box, label = groups[order], boxes[order], labels[order]
+    area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    kept, alive = [np.zeros(0, np.int64)], np.arange(len(order))
+    while len(alive):
+        first = np.concatenate([[True], g[alive[1:]] != g[alive[:-1]]])
+        best = alive[first]
+        kept.append(best)
+        by = best[np.cumsum(first) - 1]
+        corner = np.maximum(np.minimum(box[alive, 2:], box[by, 2:]) - np.maximum(box[alive, :2], box[by, :2]), 0)
+        common = corner[:, 0] * corner[:, 1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            covered = (label[alive] == label[by]) & (common / (area[alive] + area[by] - common) > most_common)
+        alive = alive[~(covered | first)]
+    return order[np.sort(np.concatenate(kept))]
+
+
+#: Fixed value: stands for a null label, which is no 32-bit label.
+_NO_LABEL = 2**40
+
+
 def non_maximum_suppression(detections: Column, most_common: float = 0.5, most: int | None = None) -> Column:
-    """Detections that no better one of the same label covers by over ``most_common`` (IOU), best first; all, or the ``most`` best of them."""
+    """Detections that no better one of the same label covers by over ``most_common`` (IOU), best first; all, or the ``most`` best of them.
+
+    A null score comes last; null labels are one label.
+    """
 
-    @F.pandas_udf(DETECTIONS)
-    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(DETECTIONS)
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for found in batch:
-                if found is None:
-                    out.append(None)
-                    continue
-                found = list(found)
-                boxes = np.array([[d["box"][n] for n in ("xmin", "ymin", "xmax", "ymax")] for d in found], np.float64).reshape(-1, 4)
-                rows = suppressed(boxes, np.array([d["score"] for d in found]), np.array([d["label_id"] for d in found]), most_common)
-                out.append([found[i] for i in rows[:most]])
-            yield pd.Series(out)
+            sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            found = batch.flatten()
+            number = lambda *path: pc.fill_null(pc.cast(pc.struct_field(found, list(path)), pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+            boxes = np.stack([number("box", n) for n in ("xmin", "ymin", "xmax", "ymax")], axis=1)
+            labels = pc.fill_null(pc.cast(pc.struct_field(found, ["label_id"]), pa.int64()), _NO_LABEL).to_numpy(zero_copy_only=False)
+            groups = np.repeat(np.arange(len(batch)), sizes)
+            rows = suppressed_groups(groups, boxes, number("score"), labels, most_common)
+            if most is not None:
+                of = groups[rows]
+                rows = rows[np.arange(len(rows)) - np.searchsorted(of, of) < most]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(groups[rows], minlength=len(batch)))])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found.take(pa.array(rows)), type=batch.type, mask=batch.is_null())
 
     return keep(detections.cast(DETECTIONS))
 

@@ -110,3 +110,19 @@ def test_class_scores():
     at = np.array([[0, 0, 10, 10], [0, 0, 10, 9], [50, 50, 60, 60], [30, 30, 40, 40]], float)
     got = detections.class_scores(at, logits, threshold=0.25, candidates=5, most_common=0.5, detections=10, classes=1, least=0.3)
     assert [g["label_ids"] for g in got] == [[1], [2], [1]] and got[0]["scores"][0] == pytest.approx(0.7)
+
+
+def test_suppression_of_many_groups_is_that_of_each(spark):
+    """Arrays of all sizes, with ties, empty boxes, null labels and null scores, against the plain loop."""
+    r = np.random.default_rng(3)
+    data, want = [], {}
+    for i in range(120):
+        n = int(r.integers(0, 12)) if i else 400
+        low, side = r.integers(0, 12, (n, 2)), r.integers(0, 9, (n, 2))
+        at, score, label = np.hstack([low, low + side]).astype(float), r.integers(0, 4, n) / 4, r.integers(0, 3, n)
+        data.append((i, [(tuple(map(float, b)), None if s == 0 else float(s), None if c == 2 else int(c), str(k)) for k, (b, s, c) in enumerate(zip(at, score, label, strict=True))]))
+        want[i] = [str(k) for k in detections.suppressed(at, np.where(score == 0, np.nan, score), label, 0.3)]
+    frame = spark.createDataFrame([*data, (-1, None)], f"id int, d {detections.DETECTIONS}")
+    for most in (None, 3):
+        got = {x.id: x.n and [d.label for d in x.n] for x in frame.select("id", detections.non_maximum_suppression(F.col("d"), 0.3, most).alias("n")).collect()}
+        assert got.pop(-1) is None and {i: x or [] for i, x in got.items()} == {i: x[:most] for i, x in want.items()}
