@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ocellus.operators.detections import let
+
 
 def segment(start: Column, end: Column) -> Column:
     """A checked segment: it begins at 0 or later, and ends where it begins or later unless its end is negative."""
@@ -51,8 +53,12 @@ _PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,width:
 
 def metadata_of_probe(probe: Column) -> Column:
     """Video metadata from a prober's JSON; what is missing is null, what is wrong goes to ``_errors``."""
-    parsed = F.from_json(probe, _PROBE)
-    stream = F.get(F.filter(parsed["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    first = lambda parsed: F.get(F.filter(parsed["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    # Each step is computed once: Spark would parse the text again for every field.
+    return let(probe, lambda text: let(F.from_json(text, _PROBE), lambda parsed: let(first(parsed), lambda stream: _metadata(text, parsed, stream))))
+
+
+def _metadata(probe: Column, parsed: Column, stream: Column) -> Column:
     ratio = F.split(stream["avg_frame_rate"], "/")
     top, bottom = (F.get(ratio, F.lit(i)).try_cast("double") for i in (0, 1))
     message = F.when(stream.isNull(), F.lit("no video stream")).when(bottom == 0, F.lit("frame rate has a zero denominator"))

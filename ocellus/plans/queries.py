@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows over as many tasks as a shuffle has: a small file is one task, however much is computed for its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _corner(c: Callable[[str], Column]) -> list[Column]:
     return [c("l_discount") * 100, c("l_tax") * 100, c("l_discount") * 100 + c("l_quantity"), c("l_tax") * 100 + c("l_quantity")]
 
@@ -158,7 +163,7 @@ def f14_video_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("300").alias("nb_frames"), F.concat((F.col("p_size") * 1000).cast("string"), F.lit("/1001")).alias("avg_frame_rate"),
     )
     probe = F.to_json(F.struct(F.array(stream).alias("streams"), F.struct(F.lit("736613").alias("size")).alias("format")))
-    m = table(spark, sf_dir, "part").select("p_partkey", frames.metadata_of_probe(probe).alias("m"))
+    m = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", frames.metadata_of_probe(probe).alias("m"))
     return m.select("p_partkey", "m.width", "m.frame_rate", F.col("m._errors.message").alias("message"))
 
 

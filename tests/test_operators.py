@@ -126,3 +126,12 @@ def test_suppression_of_many_groups_is_that_of_each(spark):
     for most in (None, 3):
         got = {x.id: x.n and [d.label for d in x.n] for x in frame.select("id", detections.non_maximum_suppression(F.col("d"), 0.3, most).alias("n")).collect()}
         assert got.pop(-1) is None and {i: x or [] for i, x in got.items()} == {i: x[:most] for i, x in want.items()}
+
+
+def test_a_probe_is_parsed_once(spark):
+    """In one plan for all fields; the query deals a small file's rows out."""
+    from ocellus.plans import queries as plans
+
+    m = spark.createDataFrame([("{}",)], "p string").select(frames.metadata_of_probe(F.col("p")).alias("m")).select("m.width", "m.frame_rate", "m._errors.message")
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert plans.f14_video_metadata(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
