@@ -23,6 +23,8 @@ from ocellus.types.views import plain, to_view
 SIDECAR = "_ocellus/metadata.json"
 #: Footers that are read at a time.
 FOOTER_READERS = 32
+#: Bytes of row groups (uncompressed) that one partition of a row-group scan reads at least, where its file has as many.
+SCAN_BYTES = 8 * 1024 * 1024
 #: Rows between checks of a row group's size.
 ROW_CHECKS = {"parquet.page.size.row.check.min": "3", "parquet.page.size.row.check.max": "32"}
 
@@ -110,29 +112,47 @@ class Dataset:
     def __len__(self) -> int:
         return self.count()
 
-    def _group_rows(self, uri: str) -> list[int]:
+    def _group_sizes(self, uri: str) -> list[tuple[int, int]]:
         meta = self._open(uri).metadata
-        return [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]
+        found = [meta.row_group(g) for g in range(meta.num_row_groups)]
+        return [(g.num_rows, g.total_byte_size) for g in found]
 
-    def footers(self) -> Iterator[tuple[str, list[int]]]:
-        """Each file with the rows of its row groups, in order; many footers are read at a time."""
+    def footers(self) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """Each file with the rows and bytes of its row groups, in order; many footers are read at a time."""
         with ThreadPoolExecutor(FOOTER_READERS) as readers:
-            yield from zip(self.files, readers.map(self._group_rows, self.files), strict=True)
+            yield from zip(self.files, readers.map(self._group_sizes, self.files), strict=True)
 
     def count(self) -> int:
         """Rows by the files' footers."""
-        return sum(sum(rows) for _, rows in self.footers())
+        return sum(rows for _, sizes in self.footers() for rows, _ in sizes)
 
     def groups(self) -> Iterator[tuple[str, int, int]]:
         """(file, row group, rows to skip in it) of this rank."""
+        for uri, group, skip, _ in self._sized_groups():
+            yield uri, group, skip
+
+    def bundles(self, least: int = SCAN_BYTES) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """(file, its row groups with rows to skip) of this rank, ``least`` bytes or more together unless the file ends."""
+        found: list[tuple[int, int]] = []
+        of, total = "", 0
+        for uri, group, skip, size in self._sized_groups():
+            if found and (uri != of or total >= least):
+                yield of, found
+                found, total = [], 0
+            found.append((group, skip))
+            of, total = uri, total + size
+        if found:
+            yield of, found
+
+    def _sized_groups(self) -> Iterator[tuple[str, int, int, int]]:
         skip, number = self.offset, 0
         for uri, sizes in self.footers():
-            for g, rows in enumerate(sizes):
+            for g, (rows, size) in enumerate(sizes):
                 if skip >= rows:
                     skip -= rows
                     continue
                 if number % self.world_size == self.rank:
-                    yield uri, g, skip
+                    yield uri, g, skip, size
                 number, skip = number + 1, 0
 
     def __iter__(self) -> Iterator[dict[str, Any]]:
@@ -154,10 +174,10 @@ class Dataset:
         return pd.DataFrame(rows, columns=self.schema.fieldNames())
 
 
-class _Group(InputPartition):
-    def __init__(self, uri: str, group: int, skip: int):
-        super().__init__(group)
-        self.uri, self.group, self.skip = uri, group, skip
+class _Groups(InputPartition):
+    def __init__(self, number: int, uri: str, groups: list[tuple[int, int]]):
+        super().__init__(number)
+        self.uri, self.groups = uri, groups
 
 
 class _GroupReader(DataSourceReader):
@@ -166,16 +186,19 @@ class _GroupReader(DataSourceReader):
         self.data = Dataset(options["path"], offset=int(options.get("offset", 0)), rank=int(options.get("rank", 0)), world_size=int(options.get("world_size", 1)))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Group(*g) for g in self.data.groups()] or [_Group("", 0, 0)]
+        return [_Groups(i, *b) for i, b in enumerate(self.data.bundles())] or [_Groups(0, "", [])]
 
-    def read(self, partition: _Group):
+    def read(self, partition: _Groups):
         if partition.uri:
+            # The file and its footer, which has an entry for every row group, are read once.
             place, path = fs.FileSystem.from_uri(partition.uri)
-            yield from pq.ParquetFile(place.open_input_file(path)).read_row_group(partition.group, columns=self.names).slice(partition.skip).to_batches()
+            file = pq.ParquetFile(place.open_input_file(path))
+            for group, skip in partition.groups:
+                yield from file.read_row_group(group, columns=self.names).slice(skip).to_batches()
 
 
 class RowGroupSource(DataSource):
-    """``spark.read.format("ocellus_groups")``: a partition for each row group of a rank.
+    """``spark.read.format("ocellus_groups")``: the row groups of a rank, small ones of a file together in a partition.
 
     Options: path, columns (comma-separated; all by default), offset, rank,
     world_size.  Only those columns are read.  Batches go to the JVM as Arrow.

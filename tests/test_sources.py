@@ -196,3 +196,19 @@ def test_drawing():
     image = Image.from_array(np.zeros((10, 12, 3), np.uint8))
     svg = (Draw(image) | Box2d(1, 1, 5, 5) @ Style(color="blue") | [with_label(Box2d(0, 0, 2, 2), "a<b")] | Mask.from_rle([100, 20], 10, 12) | "note").to_svg()
     assert 'width="12"' in svg and "blue" in svg and "a&lt;b" in svg and svg.count("<image") == 2 and SimpleNamespace
+
+
+def test_small_row_groups_share_a_partition(spark, tmp_path):
+    """A file's small groups are one partition; bundles have every group once, in order, whatever their size."""
+    path = f"{tmp_path}/d"
+    write_dataset(spark.range(20000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(2), path, block_size=16 * 1024)
+    for offset in (0, 777):
+        data = Dataset(path, offset=offset, rank=1, world_size=3)
+        groups = list(data.groups())
+        assert len(groups) > 8
+        for least in (1, 100_000, 2**40):
+            bundles = list(data.bundles(least))
+            assert [(uri, g, skip) for uri, every in bundles for g, skip in every] == groups
+        assert len(bundles) == len({uri for uri, _, _ in groups}) and len(list(data.bundles(1))) == len(groups)
+        scan = sharded(spark, path, 1, 3, offset)
+        assert scan.rdd.getNumPartitions() == len(bundles) and sorted(r.id for r in scan.collect()) == sorted(r["id"] for r in data)
