@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ocellus.functions import register_functions
 from ocellus.operators import masks
-from ocellus.plans.queries import _folder, _part_engine, query, table
+from ocellus.plans.queries import _folder, _part_engine, dealt, query, table
 from ocellus.sources import dataset
 from ocellus.sources.uri import write_bytes
 
@@ -18,7 +18,8 @@ def f12_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_functions(spark)
     pixels = F.unhex(F.repeat(F.lpad(F.hex(F.col("p_size")), 2, "0"), 48))
     array = F.struct(F.lit("uint8").alias("dtype"), F.array(F.lit(6), F.lit(8)).alias("shape"), pixels.alias("data"))
-    made = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr("box2d(array(0D, 0D, double(p_size % 5 + 1), double(p_size % 4 + 1)))").alias("b"), array.alias("a"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    made = part.select("p_partkey", "p_size", F.expr("box2d(array(0D, 0D, double(p_size % 5 + 1), double(p_size % 4 + 1)))").alias("b"), array.alias("a"))
     made = made.select("p_partkey", "b", F.expr("numpy_to_image(a, CAST(NULL AS STRING), 'PNG')").alias("i"))
     made = made.select("p_partkey", "i", F.expr("get(crop(i, array(b)), 0)").alias("c"))
 

@@ -113,3 +113,10 @@ def test_equality_and_plain():
     b = Box3d(Point(1, 2, 3), 1, 2, 3, 0.5)
     assert plain({"x": [b, a]})["x"][0]["center"]["z"] == 3
     assert to_tensor({"b": Box2d(0, 0, 1, 1), "n": [1, 2]})["b"].tolist() == [0, 0, 1, 1]
+
+
+def test_crops_are_dealt_over_tasks(spark):
+    """A small file of rows that Python works on is more than one task."""
+    from ocellus.plans import files
+
+    assert files.f12_crop(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
